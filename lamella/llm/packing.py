@@ -30,23 +30,44 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from . import kernel
 from .common import small_batches, table
 
 LENGTH = 4096
 SEPARATOR = 50256
 CHUNK = 4 << 20
 #: Words whose ids a worker remembers; it starts afresh beyond.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SCHEMA = "row_id long, n_tokens int, ids array<int>, cu_seqlens array<int>, resets array<int>, doc_ids array<long>, offsets array<long>"
-#: White space of the vocabulary's pattern. A piece is a word with the one space before it, or white space as the pattern cuts it: no pre-token crosses a piece.
-_S = "\t-\r \x85\xa0  -     　"
-_PIECES = re.compile(f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+#: The UTF-8 bytes of white space beyond ASCII. Texts that hold any are encoded as a whole.
+RARE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _encoders: dict[str, Encoder] = {}
 
 
-class Encoder(dict):
-    """piece -> its ids as bytes of int32, made when first asked for."""
+def piece_starts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the block can be cut so that no pre-token of the vocabulary's pattern crosses a cut.
+
+    A word takes the one space before it along; other white space before a word stands alone, and so does what comes before that.
+    """
+    s, e, _ = kernel.word_bounds(raw, at)
+    cut = np.zeros(len(raw) + 1, bool)
+    first = np.zeros(len(raw) + 1, bool)
+    first[at] = True
+    inner = s[~first[s]]  # a word that doesn't begin its text has white space before it
+    cut[inner - 1] = True
+    cut[inner[raw[inner - 1] != 32]] = True
+    cut[e] = True
+    cut[at] = True
+    return np.flatnonzero(cut)
+
+
+class Encoder:
+    """Ids of the texts of a block.
+
+    Pieces come back often: their ids are remembered by a 64-bit hash, and only new ones are encoded, many at once. Every block is then
+    decoded and compared with its bytes; one that differs (a hash collision) is encoded as a whole.
+    """
 
     def __init__(self, path: str):
         import tiktoken
@@ -54,17 +75,74 @@ class Encoder(dict):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("lamella", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.bpe.encode_ordinary(piece), np.int32).tobytes()
-        if len(piece) < 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-    def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, _PIECES.findall(text or ""))), np.int32)
+        by_id = sorted((b, a) for a, b in ranks.items())
+        self.width, self.start = np.zeros(by_id[-1][0] + 1, np.int64), np.zeros(by_id[-1][0] + 1, np.int64)
+        self.width[[b for b, _ in by_id]] = [len(a) for _, a in by_id]
+        self.start[[b for b, _ in by_id]] = np.cumsum([0, *(len(a) for _, a in by_id)])[:-1]
+        self.spelled = np.frombuffer(b"".join(a for _, a in by_id), np.uint8)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.at, self.size, self.store, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0
+
+    def learn(self, hashes: list[int], pieces: list[bytes]) -> None:
+        """Pieces that begin with a space and go on stay apart in one long text; where each one's ids end follows from the widths of the ids."""
+        spaced = [x[0] == 32 and len(x) > 1 and x[1] > 32 for x in pieces]
+        joined = [x for x, y in zip(pieces, spaced, strict=True) if y]
+        flat = np.array(self.bpe.encode_ordinary(b"".join(joined).decode()), np.int32)
+        sizes = np.diff(np.searchsorted(np.cumsum(self.width[flat]), np.cumsum(list(map(len, joined)), dtype=np.int64)) + 1, prepend=0)
+        alone = [np.array(self.bpe.encode_ordinary(x.decode()), np.int32) for x, y in zip(pieces, spaced, strict=True) if not y]
+        self._add([h for h, y in zip(hashes, spaced, strict=True) if y], sizes, flat)
+        if alone:
+            self._add([h for h, y in zip(hashes, spaced, strict=True) if not y], np.array(list(map(len, alone))), np.concatenate(alone))
+
+    def _add(self, hashes: list[int], sizes: np.ndarray, ids: np.ndarray) -> None:
+        n = len(self.known)
+        while n + len(hashes) > len(self.at):
+            self.at, self.size = np.concatenate((self.at, self.at)), np.concatenate((self.size, self.size))
+        while self.used + len(ids) > len(self.store):
+            self.store = np.concatenate((self.store, self.store))
+        self.size[n : n + len(hashes)] = sizes
+        self.at[n : n + len(hashes)] = self.used + np.cumsum(sizes) - sizes
+        self.store[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.known.update(zip(hashes, range(n, n + len(hashes)), strict=True))
+
+    def whole(self, raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        return [np.array(self.bpe.encode_ordinary(raw[a:b].tobytes().decode()), np.int32) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def encode(self, raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """Ids of each row of the block."""
+        if not len(raw):
+            return [np.zeros(0, np.int32) for _ in at[1:]]
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        cut = piece_starts(raw, at)
+        hashes = kernel.mix(kernel.range_hash(kernel.byte_prefix(raw), cut[:-1], cut[1:]) + np.diff(cut).astype(np.uint64))
+        one, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+        keys, data = one.tolist(), raw.tobytes()
+        new = [k for k, h in enumerate(keys) if h not in self.known]
+        try:
+            if new:
+                self.learn([keys[k] for k in new], [data[cut[where[k]] : cut[where[k] + 1]] for k in new])
+            index = np.array([self.known[h] for h in keys], np.int64)[back]
+            size = self.size[index]
+            ends = np.cumsum(size)
+            ids = self.store[np.repeat(self.at[index] - ends + size, size) + np.arange(ends[-1])]
+            width = self.width[ids]
+            upto = np.cumsum(width)
+            same = upto[-1] == len(raw) and bool((self.spelled[np.repeat(self.start[ids] - upto + width, width) + np.arange(len(raw))] == raw).all())
+        except (UnicodeDecodeError, ValueError):
+            same = False
+        if not same:
+            self.forget()
+            return self.whole(raw, at)
+        first = np.searchsorted(np.concatenate(([0], upto)), at)
+        rows = [ids[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+        for k in {int(np.searchsorted(at, m.start(), "right")) - 1 for m in RARE.finditer(data)}:
+            rows[k] = self.whole(raw, at[k : k + 2])[0]
+        return rows
 
 
 def encoder(path: str) -> Encoder:
@@ -151,13 +229,14 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, s
         encode, close = encoder(path).encode, np.array([separator], np.int32)
         first, pieces, held = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40, [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.concatenate((encode(text.as_py()), close))
-                pieces += [(doc_id, at, ids[at : at + length]) for at in range(0, len(ids), length)]
-                held += len(ids)
-                if held >= chunk:
-                    yield from emit(pieces, first)
-                    first, pieces, held = first + len(pieces), [], 0
+            for some, raw, at in kernel.blocks(batch):
+                for doc_id, ids in zip(some.column(0).to_pylist(), encode(raw, at), strict=True):
+                    ids = np.concatenate((ids, close))
+                    pieces += [(doc_id, k, ids[k : k + length]) for k in range(0, len(ids), length)]
+                    held += len(ids)
+                    if held >= chunk:
+                        yield from emit(pieces, first)
+                        first, pieces, held = first + len(pieces), [], 0
         if pieces:
             yield from emit(pieces, first)
 
