@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamella.llm import common, decontaminate, mixing, packing, quality
+from lamella.llm import common, decontaminate, mixing, near_duplicates, packing, quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,6 +17,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: of each class of near-duplicates the document of the smallest doc_id stays."""
+    return near_duplicates.keep_one(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents that hold a window of a benchmark item go."""
     return decontaminate.drop_documents(docs, common.table(spark, sf_dir, "benchmark"))
@@ -34,6 +39,7 @@ def token_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_duplicate_removal),
     ("benchmark decontamination", decontamination),
     ("mixing sources to target weights", source_mix),
     ("token-ID / binary output", token_rows),

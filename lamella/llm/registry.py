@@ -8,8 +8,13 @@ from importlib import import_module
 NAMES = {
     "op1_mixing": "mixing",
     "op2_quality_rules": "quality",
+    "op3_substring_dedup": "substrings",
     "op4_chat_formatting": "chat",
+    "op5_near_duplicates": "near_duplicates",
+    "op6_html_extraction": "html_text",
+    "op7_personal_data": "personal_data",
     "op8_decontamination": "decontaminate",
+    "op9_suffix_dedup": "suffixes",
     "op10_token_packing": "packing",
 }
 
