@@ -59,15 +59,16 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: floa
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("left", F.sum("mix_source_size").over(every) * F.lit(float(budget)) - F.coalesce(F.sum("ceiling").over(before), F.lit(0.0)))
     per = per.withColumn("share", F.col("left") / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-    per = per.withColumn("open", F.col("share") * F.col("w") <= F.col("ceiling"))
-    level = F.min(F.when(F.col("open"), F.struct(F.col("ceiling") / F.col("w"), F.col("share")))).over(every)["share"]
+    per = per.withColumn("open", F.col("share") * F.col("w") <= F.col("ceiling")).withColumn("place", F.row_number().over(by_ratio))
+    level = F.min(F.when(F.col("open"), F.struct("place", "share"))).over(every)["share"]
     return per.select("mix_source", "mix_source_size", F.coalesce(F.least(F.col("ceiling"), level * F.col("w")), F.col("ceiling")).alias("mix_target"))
 
 
 def plan(docs: DataFrame, sizes: DataFrame | None = None, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP, seeds: int = SEEDS) -> DataFrame:
-    """``docs`` with mix_size, mix_source_size, mix_target and mix_copies. ``sizes``: doc_id, source and mix_size of the same rows, if at hand."""
+    """``docs`` with mix_size, mix_source_size, mix_target and mix_copies. ``sizes``: doc_id, source and mix_size of the same rows, if at hand (docs then has mix_size)."""
     if sizes is None:
-        sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("mix_size"))
+        docs = docs.withColumn("mix_size", word_count(F.col("text")))
+        sizes = docs.select("doc_id", "source", "mix_size")
     goal = targets(sizes, weights, budget, cap).withColumn("mix_rate", F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0)))
     goal = goal.withColumn("mix_whole", F.floor("mix_rate")).withColumn("mix_part", F.col("mix_rate") - F.col("mix_whole"))
     on = F.col("source").eqNullSafe(F.col("mix_source"))
@@ -105,9 +106,9 @@ def _oracle() -> str:
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint size, [{", ".join(u)}] u from documents),
 per as (select source, sum(size)::bigint source_size, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 3.0 when 1 then 1.0 else 2.0 end::double w from d group by source),
 ord as (select *, source_size * {float(CAP)}::double ceiling from per),
-lft as (select *, (sum(source_size) over ())::double * {BUDGET}::double - coalesce(sum(ceiling) over b, 0) rest, sum(w) over () - coalesce(sum(w) over b, 0) ws from ord
+lft as (select *, (sum(source_size) over ())::double * {BUDGET}::double - coalesce(sum(ceiling) over b, 0) rest, sum(w) over () - coalesce(sum(w) over b, 0) ws, row_number() over (order by ceiling / w, source nulls last) place from ord
         window b as (order by ceiling / w, source nulls last rows between unbounded preceding and 1 preceding)),
-lev as (select arg_min(rest / ws, ceiling / w) lvl from lft where rest / ws * w <= ceiling),
+lev as (select arg_min(rest / ws, place) lvl from lft where rest / ws * w <= ceiling),
 goal as (select source, source_size, coalesce(least(ceiling, lvl * w), ceiling) target from lft left join lev on true),
 rates as (select *, floor(case when source_size > 0 then target / source_size else 0 end) whole, case when source_size > 0 then target / source_size else 0 end - floor(case when source_size > 0 then target / source_size else 0 end) part from goal),
 tried as (select g.source, any_value(part) part, any_value(source_size) source_size, {sums} from d join rates g on d.source is not distinct from g.source group by g.source),

@@ -1,0 +1,31 @@
+"""Registered queries against their SQL, and the pipeline."""
+
+import os
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from lamella.llm import registry
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query(spark, name):
+    con = duckdb.connect()
+    for t in os.listdir(SF):
+        con.execute(f"create view {t.split('.')[0]} as select * from read_parquet('{SF}/{t}')")
+    df = registry.queries()[name](spark, SF)
+    columns = sorted(df.columns)
+    text = lambda v: f"{v:.6f}" if isinstance(v, float) else str(v)
+    want = con.execute(registry.oracle_sql()[name]).fetch_arrow_table()
+    assert sorted(want.column_names) == columns
+    assert sorted([text(r[c]) for c in columns] for r in df.collect()) == sorted([text(r[c]) for c in columns] for r in want.to_pylist())
+
+
+def test_pipeline(spark):
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "MinHash near-dedup", "benchmark decontamination", "mixing sources to target weights", "token-ID / binary output"]
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert rows and all(len(r.doc_ids) == len(r.cu_seqlens) - 1 for r in rows)
