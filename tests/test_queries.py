@@ -28,7 +28,7 @@ def duck():
 def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
-    want = duck.execute(catalog.SQL[name]).fetch_arrow_table()
+    want = duck.execute(catalog.SQL[name]).to_arrow_table()
     assert sorted(want.column_names) == columns
     got = df.select(*columns).collect()
     kinds = dict(df.dtypes)
