@@ -171,12 +171,16 @@ def test_near_duplicates(spark, docs, none):
     assert near_duplicates.classes(none).count() == 0
 
 
-def test_near_duplicates_find_every_link(spark):
+@pytest.mark.parametrize(("small", "block"), [(30, 500), (3, 8)])
+def test_near_duplicates_find_every_link(spark, monkeypatch, small, block):
+    monkeypatch.setattr(near_duplicates, "SMALL", small)
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
     rows = []
     for g in range(25):
         base = prose(random.Random(g).choice([6, 12, 30, 80, 300]), 100 + g)
         rows += [(g * 100 + k, base if k == 0 else edited(base, 70 + 13 * k, 1000 + g * 10 + k)) for k in range(6)]
     rows += [(9000 + k, prose(30, 7000 + k) + " " + PASSAGE) for k in range(40)]
+    rows += [(20_000 + k, edited(prose(150, 77), max(1, 150 // (1 + k % 9)), 8000 + k)) for k in range(60)]
     sets = []
     for _, t in rows:
         w = t.split()

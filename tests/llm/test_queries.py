@@ -20,7 +20,7 @@ def test_query(spark, name):
     df = registry.queries()[name](spark, SF)
     columns = sorted(df.columns)
     text = lambda v: f"{v:.6f}" if isinstance(v, float) else str(v)
-    want = con.execute(registry.oracle_sql()[name]).fetch_arrow_table()
+    want = con.execute(registry.oracle_sql()[name]).to_arrow_table()
     assert sorted(want.column_names) == columns
     assert sorted([text(r[c]) for c in columns] for r in df.collect()) == sorted([text(r[c]) for c in columns] for r in want.to_pylist())
 
