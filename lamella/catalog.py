@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import language
 from .functions import similarity as S
 from .functions import text as T
-from .operators import graph, grouping, store
+from .operators import evidence, graph, grouping, store
 from .plans import digest
 from .plans.digest import Digest, sql
 from .session import table
+from .streaming.packer import pack_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -314,3 +316,18 @@ on("snk_plain_text", "select n_regionkey, string_agg(n_name || chr(10) || chr(10
     lambda t: t("nation").groupBy("n_regionkey").agg(F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(x["n_name"], lit("\n\n"), x["n_nationkey"])), "\n\n"), lit("\n")).alias("text")))
 simple("snk_listing", "fsent", "select serial_id, 'Section ' || (serial_id + 1) || ': ' || count(distinct fragment_id) || ' fragments, ' || sum(words) || ' words' as line from fsent group by serial_id",
        lambda d: d.fsent.groupBy("serial_id").agg(F.concat(lit("Section "), col("serial_id") + 1, lit(": "), F.countDistinct("fragment_id"), lit(" fragments, "), F.sum("words"), lit(" words")).alias("line")))
+
+# --- streams and loops ------------------------------------------------------------------------------------------------
+SQL["str_fragments"] = sql("select serial_id, fragment_id, sentence_index, text, words from fsent", "fsent")
+QUERIES["str_fragments"] = lambda spark, sf_dir: pack_available(spark, f"{sf_dir}/documents.parquet*")
+on("txt_language")(lambda t: t("documents").select("doc_id", "lang", language.language(col("text")).alias("detected")))
+
+
+def _quotes(d: Digest) -> DataFrame:
+    """Of every third sentence the whole or its first words as start, and the sentence two further on as end."""
+    f = d.fsent.where("words >= 8").select("serial_id", "sidx", "text")
+    end = f.select("serial_id", (col("sidx") - 2).alias("sidx"), col("text").alias("end"))
+    return f.where("sidx % 3 = 0").join(end, ["serial_id", "sidx"], "left").select("serial_id", col("sidx").alias("quote_id"), F.when(col("sidx") % 2 == 0, col("text")).otherwise(F.substring_index("text", " ", 6)).alias("start"), "end")
+
+
+entry("sim_resolve")(lambda d: evidence.resolve_all(d.fsent.where("words >= 4").select("serial_id", "sidx", "text"), _quotes(d)))

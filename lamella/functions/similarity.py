@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,6 +79,7 @@ def latin(c: str) -> bool:
     return c.isalpha() and "LATIN" in unicodedata.name(c, "")
 
 
+@lru_cache(1 << 14)
 def normalize(text: str) -> str:
     """Comparison form: white space only between Latin letters (and dropped with them), hyphen breaks joined, no punctuation or symbols, Latin letters without case and marks."""
     out = []

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.text import FRAGMENT_WORDS
+from ..session import shared_folder
 
 _CLOSED = re.compile(r"[^.!?\n]*[.!?]+|[^.!?\n]+\n|\n")
+_SAID = re.compile(r"[^.!?\s]")
 OUT = "serial_id long, fragment_id long, sentence_index long, text string, words long"
 STATE = "rest string, held long, fragment long, sentence long"
 
@@ -27,7 +31,7 @@ def cut(text: str, flush: bool) -> tuple[list[str], str]:
     if flush:
         out.append(text[at:].strip())
         at = len(text)
-    return [x for x in out if x], text[at:]
+    return [x for x in out if _SAID.search(x)], text[at:]
 
 
 def fold(serial: int, pieces: list[str], state: tuple[str, int, int, int], flush: bool, limit: int = FRAGMENT_WORDS) -> tuple[list[tuple], tuple[str, int, int, int]]:
@@ -58,3 +62,13 @@ def pack_stream(pieces: DataFrame, limit: int = FRAGMENT_WORDS) -> DataFrame:
         yield pd.DataFrame(out, columns=["serial_id", "fragment_id", "sentence_index", "text", "words"])
 
     return pieces.groupBy("serial_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def pack_available(spark: SparkSession, path: str, limit: int = FRAGMENT_WORDS) -> DataFrame:
+    """All documents (doc_id, text) found under a path now, read as a stream and packed; the result is a table in the shared folder."""
+    source = spark.readStream.schema("doc_id long, text string").parquet(path)
+    pieces = source.select(F.col("doc_id").alias("serial_id"), F.lit(0).cast("long").alias("seq"), F.coalesce("text", F.lit("")).alias("text"), F.lit(True).alias("last"))
+    folder = f"{shared_folder(spark).rstrip('/')}/packed-{uuid.uuid4().hex}"
+    query = pack_stream(pieces, limit).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(OUT).parquet(f"{folder}/out")
