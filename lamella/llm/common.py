@@ -8,6 +8,7 @@ lost executor never costs more than the stage that it was running.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,7 +26,7 @@ SPACES = " \t\n\x0b\x0c\r"
 #: Largest number of rows that an operator broadcasts after having counted them.
 BROADCAST_ROWS = 2_000_000
 #: Bytes of one Arrow batch that goes to a Python worker.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 _ours: list[tuple[SparkSession, str]] = []
 
@@ -77,6 +78,14 @@ def release() -> None:
             pass
 
 
+def tidy() -> None:
+    """Give memory that a finished partition has used back to the system: workers live on, and two share an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
     small_batches(df.sparkSession)
@@ -84,6 +93,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from fn(batch)
+        tidy()
 
     return df.mapInArrow(run, schema)
 

@@ -2,7 +2,7 @@
 
 A text column is treated as one flat byte buffer with document offsets. Hashes
 are polynomials modulo 2**64 over randomised symbols, so the hash of any range
-follows from two prefix sums. All functions work on blocks of a few megabytes,
+follows from two prefix sums. All functions work on blocks of half a megabyte,
 whatever the size of an Arrow batch; a text longer than a block is a block.
 """
 
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
 _SYMBOL = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)

@@ -41,10 +41,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import cut, map_arrow, small_batches, table, text_key
+from .common import cut, map_arrow, small_batches, table, text_key, tidy
 
 SPAN, K = 400, 64
 HOT, PARTS = 20_000, 8
+#: Contexts that are sorted at a time, whole buckets at least.
+ROWS = 1024
 _REACH = SPAN - K
 _U = np.uint64
 
@@ -242,26 +244,24 @@ def shared_strings(table_: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        rows, last = 0, None
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             key = batch.column("bucket").to_numpy()
             other = np.flatnonzero(key != key[-1])
             whole = int(other[-1]) + 1 if len(other) else 0  # rows before the last bucket, which may go on in the next batch
-            if held and not whole and held[-1].column("bucket")[held[-1].num_rows - 1].as_py() != key[0]:
-                whole = -1
-            if rows + max(whole, 0) >= 4096 and whole:
-                done = solve(pa.Table.from_batches([*held, batch.slice(0, max(whole, 0))]))
-                held, rows, batch = [], 0, batch.slice(max(whole, 0))
+            if rows + whole >= ROWS and (whole or last != key[0]):
+                done = solve(pa.Table.from_batches([*held, batch.slice(0, whole)]))
+                held, rows, batch = [], 0, batch.slice(whole)
                 if done:
                     yield done
             held.append(batch)
             rows += batch.num_rows
+            last = key[-1]
         if held:
             done = solve(pa.Table.from_batches(held))
             if done:
                 yield done
+        tidy()
 
     small_batches(table_.sparkSession)
     return table_.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, tk long, start int, stop int")
@@ -274,7 +274,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     per = cut(found.groupBy("h", "x").agg(F.count("*").alias("n"), place), "contexts")
     whole = per.where("n > 1 and place.l + place.r >= " + str(SPAN)).select(F.col("h").alias("wh"), F.col("x").alias("wx"))
     covered = found.join(whole, (F.col("h") == F.col("wh")) & (F.col("x") == F.col("wx"))).select("doc_id", "tk", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("stop"))
-    mixed = per.groupBy("h").agg(F.count("*").alias("nx"), F.min("n").alias("least")).where("nx > 1 and least = 1").select("h", (F.col("nx") > HOT).alias("hot"))
+    mixed = cut(per.groupBy("h").agg(F.count("*").alias("nx"), F.min("n").alias("least")).where("nx > 1 and least = 1").select("h", (F.col("nx") > HOT).alias("hot")), "mixed")
     wanted = per.join(mixed, "h").where(f"place.l + place.r >= {SPAN}").select("place.doc_id", "place.tk", F.struct("place.pos", "h", "n", "hot").alias("y")).groupBy("doc_id", "tk").agg(F.collect_list("y").alias("g"))
     sorted_ = shared_strings(contexts(wanted, docs))
     both = cut(covered.unionByName(sorted_), "byte-spans")
