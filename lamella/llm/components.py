@@ -10,7 +10,7 @@ from .common import cut
 
 def _with_least(pairs: DataFrame) -> DataFrame:
     """(u, v) pairs with the least v of each u; a node with very many pairs is only a skewed join key."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "mu")
+    least = cut(pairs.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "mu"), "least")
     return pairs.join(least, pairs["u"] == least["mu"]).drop("mu")
 
 

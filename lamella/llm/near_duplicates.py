@@ -13,11 +13,16 @@ connected components of the links.
 
 Shape: exact copies fall together by the digest of their text before anything
 else, with one representative. Candidates come in two rounds. First every member
-of a sketch's bucket is held against the bucket's smallest document; that links
-groups of copies of any size with as many pairs as members. Then only buckets
-that still hold several classes are taken, and only members of different classes
-are paired; a pair must agree in two sketches (at similarity 0.8 one in 30,000 pairs has
-fewer). No bucket has a cap.
+of a sketch's bucket is held against the bucket's most central document (the one
+in the largest buckets, as the original of many copies is); that links groups of
+copies of any size with as many pairs as members. Then only buckets that still
+hold several classes are taken, and only members of different classes that agree
+in two sketches are held against each other (at similarity 0.8 one pair in 30,000
+agrees in fewer). Buckets of up to ``SMALL`` members give their pairs as rows,
+at most SMALL / 2 for each member. Larger ones, where many texts are almost
+similar enough, go as blocks of at most ``BLOCK`` members, two at a time, to
+workers that return only links; every pair of members meets in a block, none is
+left out.
 
 Defined cases: null text is empty; a document without words is alone in its
 class; one of fewer than ``K`` words has one shingle, all its words; rows with a
@@ -36,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import cut, map_arrow, table
+from .common import cut, map_arrow, small_batches, table, tidy
 from .components import components
 
 K, SIMILARITY = 5, 0.8
@@ -44,6 +49,7 @@ K, SIMILARITY = 5, 0.8
 PICK, SKETCHES = 5, 32
 #: Documents of at most SHORT shingles also get sketches of one shingle: few shingles agree in five too seldom.
 SHORT, SHORT_SKETCHES = 20, 10
+SMALL, BLOCK = 30, 500
 _U = np.uint64
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, SKETCHES, dtype=np.uint64) * _U(2) + _U(1)
 
@@ -150,27 +156,107 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
+def links_within(members: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between members of different classes of large buckets: rows key, rep, n, class. A pair is tried in the first large bucket that both share."""
+    asked = members.select("rep").distinct()
+    held = members.groupBy("rep").agg(F.sort_array(F.collect_set("key")).alias("large"))
+    whole = asked.join(texts.withColumnRenamed("doc_id", "rep"), "rep").join(first, "rep").join(held, "rep")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    dealt = members.select("key", "rep", "class", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("rep", "class", "key", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group = None, []
+        for batch in batches:
+            sets: list[np.ndarray] = []
+            for _, raw, at in kernel.blocks(batch):
+                x, start = shingles(raw, at)
+                sets += [x[p:q] for p, q in zip(start[:-1], start[1:], strict=True)]
+            heads = [batch.column(c).to_pylist() for c in ("key", "i", "j", "mine", "rep", "class")]
+            keys, large = batch.column("keys"), batch.column("large")
+            for k, (key, i, j, *rest) in enumerate(zip(*heads, strict=True)):
+                if (key, i, j) != now:
+                    yield from tried(now, group)
+                    now, group = (key, i, j), []
+                group.append((*rest, sets[k], keys[k].values.to_numpy(), frozenset(large[k].values.to_numpy().tolist())))
+        yield from tried(now, group)
+        tidy()
+
+    small_batches(members.sparkSession)
+    rows = dealt.join(whole, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+    return rows.select("key", "i", "j", "mine", "rep", "class", "text", "keys", "large").mapInArrow(run, "a long, b long").distinct()
+
+
+def tried(group_of: tuple | None, group: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """One batch of links between the members (block, rep, class, shingles, keys, large keys) of one or two blocks of a bucket."""
+    if len(group) < 2:
+        return
+    key, i, j = group_of
+    reps, own = np.array([m[1] for m in group]), np.array([m[2] for m in group])
+    keys = np.zeros((len(group), max(len(m[4]) for m in group)), np.int64)
+    for k, m in enumerate(group):
+        keys[k, : len(m[4])] = m[4]
+    block = np.array([m[0] for m in group])
+    sets = [frozenset(m[3].tolist()) for m in group]
+    top = {int(c): int(c) for c in own}
+
+    def find(c: int) -> int:
+        while top[c] != c:
+            top[c] = top[top[c]]
+            c = top[c]
+        return c
+
+    out = []
+    for k in range(len(group)):
+        later = np.arange(k + 1, len(group))
+        later = later[(own[later] != own[k]) & ((block[later] != block[k]) if i != j else True)]
+        later = later[((keys[later] == keys[k]) & (keys[k] != 0)).sum(axis=1) > 1]
+        for o in later.tolist():
+            a, b = sets[k], sets[o]
+            if find(int(own[k])) == find(int(own[o])) or min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
+                continue
+            if min(group[k][5] & group[o][5]) != key:
+                continue
+            both = len(a & b)
+            repeats = len(group[k][3]) > len(a) or len(group[o][3]) > len(b)  # without any, the alignment can't be the better measure
+            if both >= SIMILARITY * (len(a) + len(b) - both) or repeats and aligned(group[k][3], group[o][3]) >= SIMILARITY:
+                top[find(int(own[k]))] = find(int(own[o]))
+                out.append((int(reps[k]), int(reps[o])))
+    if out:
+        yield pa.RecordBatch.from_pydict({"a": [x for x, _ in out], "b": [x for _, x in out]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, digest, class_id: the smallest doc_id of the class. One row per doc_id and text."""
     made = cut(sketches(docs.select("doc_id", "text")), "sketches")
     copies = made.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     first = made.join(copies.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep"))).where(F.size("keys") > 0)
-    rows = cut(first.dropDuplicates(["digest"]).select("rep", F.explode("keys").alias("key")), "buckets")
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1").select("key", "pivot")
-    shared = cut(rows.join(buckets, "key"), "shared")
+    first = cut(first.dropDuplicates(["digest"]).select("rep", "keys"), "representatives")
+    rows = first.select("rep", F.explode("keys").alias("key"))
+    # written before the join: only a join of two plain exchanges is split by the planner where a bucket is very large
+    sizes = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    shared = cut(rows.join(sizes, "key"), "shared")
+    central = cut(shared.groupBy("rep").agg(F.sum("n").alias("c")), "central")
+    placed = cut(shared.join(central, "rep"), "placed")
+    pivots = cut(placed.groupBy("key").agg(F.max(F.struct(F.col("c"), (-F.col("rep")).alias("r"))).alias("x")).select("key", (-F.col("x.r")).alias("pivot")), "pivots")
+    known = cut(placed.join(pivots, "key").where("rep <> pivot"), "known")
     # the text of a representative, told from other rows of its doc_id by the digest
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    one = cut(shared.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "star-pairs")
+    one = cut(known.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "star-pairs")
     star = cut(verified(one, texts).distinct(), "star-links")
-    label = components(star).withColumnRenamed("node", "rep")
-    known = cut(shared.where("rep <> pivot").join(label, "rep", "left").select("key", "rep", F.coalesce("class", "rep").alias("class")), "classed")
-    mixed = known.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
+    # a first guess of the classes: the most central document linked, and what that one is linked to
+    hop = cut(star.join(central.select(F.col("rep").alias("a"), "c"), "a").groupBy(F.col("b").alias("rep")).agg(F.max(F.struct("c", "a")).alias("x")).select("rep", F.col("x.a").alias("class")), "hop")
+    far = hop.join(hop.select(F.col("rep").alias("class"), F.col("class").alias("top")), "class", "left").select("rep", F.coalesce("top", "class").alias("class"))
+    known = cut(known.drop("c", "pivot").join(far, "rep", "left").select("key", "rep", "n", F.coalesce("class", "rep").alias("class")), "classed")
+    mixed = cut(known.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key"), "mixed-keys")
     rest = cut(known.join(mixed, "key"), "mixed")
-    x, y = rest.select("key", F.col("rep").alias("a"), F.col("class").alias("ca")), rest.select("key", F.col("rep").alias("b"), F.col("class").alias("cb"))
-    # short documents have sketches of one shingle besides; two agreements are asked of all
-    cross = x.join(y, "key").where("ca < cb").select("a", "b").groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
-    two = cut(cross.select("a", "b").join(one, ["a", "b"], "left_anti"), "cross-pairs")
-    links = star.unionByName(verified(two, texts))
+    few = rest.where(F.col("n") <= SMALL)
+    x, y = few.select("key", F.col("rep").alias("a"), F.col("class").alias("ca")), few.select("key", F.col("rep").alias("b"), F.col("class").alias("cb"))
+    cross = x.join(y, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
+    two = cut(cross.join(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross-pairs")
+    many = cut(rest.where(F.col("n") > SMALL), "large-buckets")
+    links = star.unionByName(verified(two, texts)).unionByName(links_within(many, first, texts))
     label = cut(components(links), "classes").withColumnRenamed("node", "rep")
     member = made.select("doc_id", "digest").distinct().join(copies, "digest")
     return member.join(label, "rep", "left").select("doc_id", "digest", F.coalesce("class", "rep").alias("class_id"))
