@@ -31,13 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from . import kernel
-from .common import small_batches, table
+from .common import small_batches, table, tidy
 
 LENGTH = 4096
 SEPARATOR = 50256
 CHUNK = 4 << 20
 #: Words whose ids a worker remembers; it starts afresh beyond.
-REMEMBERED = 800_000
+REMEMBERED = 200_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SCHEMA = "row_id long, n_tokens int, ids array<int>, cu_seqlens array<int>, resets array<int>, doc_ids array<long>, offsets array<long>"
 #: The UTF-8 bytes of white space beyond ASCII. Texts that hold any are encoded as a whole.
@@ -239,6 +239,8 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, s
                         first, pieces, held = first + len(pieces), [], 0
         if pieces:
             yield from emit(pieces, first)
+        pieces = []
+        tidy()
 
     small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, SCHEMA)

@@ -22,12 +22,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, small_batches, table, tidy
 
 ERROR = 0.01
 FENCE = 4.0
@@ -63,8 +64,10 @@ def counts(text: str | None) -> tuple[int, int, int, int, int]:
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _counts(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([counts(x) for x in text], columns=NAMES, dtype="int64")
+def _counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for text in batches:
+        yield pd.DataFrame([counts(x) for x in text], columns=NAMES, dtype="int64")
+    tidy()
 
 
 def features(docs: DataFrame) -> DataFrame:
