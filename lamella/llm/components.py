@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def _with_least(pairs: DataFrame) -> DataFrame:
-    """(u, v) pairs with the least v of each u; a node with very many pairs is only a skewed join key."""
-    least = cut(pairs.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "mu"), "least")
+def _with_least(pairs: DataFrame, write: bool) -> DataFrame:
+    """(u, v) pairs with the least v of each u. Written minima leave a join of two plain exchanges, which the planner splits at a node with very many pairs."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "mu")
+    least = cut(least, "least") if write else least
     return pairs.join(least, pairs["u"] == least["mu"]).drop("mu")
 
 
@@ -21,8 +22,8 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).select(F.col("v").alias("u"), F.least("u", "m").alias("v"), F.col("u").alias("by")).where("u > by and u <> v").select("u", "v").distinct()
-        near = _with_least(large)
+        large = _with_least(both, True).select(F.col("v").alias("u"), F.least("u", "m").alias("v"), F.col("u").alias("by")).where("u > by and u <> v").select("u", "v").distinct()
+        near = _with_least(large, False)  # few pairs for each node are left here
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = cut(small, "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())

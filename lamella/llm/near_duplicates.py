@@ -17,7 +17,7 @@ of a sketch's bucket is held against the bucket's most central document (the one
 in the largest buckets, as the original of many copies is); that links groups of
 copies of any size with as many pairs as members. Then only buckets that still
 hold several classes are taken, and only members of different classes that agree
-in two sketches are held against each other (at similarity 0.8 one pair in 30,000
+in two sketches are held against each other (at similarity 0.8 one pair in 20,000
 agrees in fewer). Buckets of up to ``SMALL`` members give their pairs as rows,
 at most SMALL / 2 for each member. Larger ones, where many texts are almost
 similar enough, go as blocks of at most ``BLOCK`` members, two at a time, to
@@ -193,12 +193,25 @@ def tried(group_of: tuple | None, group: list[tuple]) -> Iterator[pa.RecordBatch
     if len(group) < 2:
         return
     key, i, j = group_of
-    reps, own = np.array([m[1] for m in group]), np.array([m[2] for m in group])
-    keys = np.zeros((len(group), max(len(m[4]) for m in group)), np.int64)
+    n = len(group)
+    reps, own, block = (np.array([m[k] for m in group]) for k in (1, 2, 0))
+    keys = np.zeros((n, max(len(m[4]) for m in group)), np.int64)
+    ours = np.zeros(keys.shape, bool)  # keys whose bucket is a large one that the member is tried in
     for k, m in enumerate(group):
         keys[k, : len(m[4])] = m[4]
-    block = np.array([m[0] for m in group])
+        ours[k, : len(m[4])] = [x in m[5] for x in m[4].tolist()]
+    agree, first = np.zeros((n, n), np.uint8), np.full((n, n), 255, np.uint8)
+    for c in reversed(range(keys.shape[1])):
+        code = np.unique(keys[:, c], return_inverse=True)[1].astype(np.int32)
+        same = (code[:, None] == code[None, :]) & (keys[:, c] != 0)[:, None]
+        agree += same
+        first[same & ours[:, c][:, None] & ours[:, c][None, :]] = c
+    size = np.array([len(m[3]) for m in group])
+    here = int(np.flatnonzero((keys == key).any(axis=0))[0])
+    asked = (agree > 1) & (first == here) & (own[:, None] != own[None, :])
+    asked &= (block[:, None] != block[None, :]) if i != j else True
     sets = [frozenset(m[3].tolist()) for m in group]
+    repeats = [len(s) < z for s, z in zip(sets, size.tolist(), strict=True)]
     top = {int(c): int(c) for c in own}
 
     def find(c: int) -> int:
@@ -208,20 +221,15 @@ def tried(group_of: tuple | None, group: list[tuple]) -> Iterator[pa.RecordBatch
         return c
 
     out = []
-    for k in range(len(group)):
-        later = np.arange(k + 1, len(group))
-        later = later[(own[later] != own[k]) & ((block[later] != block[k]) if i != j else True)]
-        later = later[((keys[later] == keys[k]) & (keys[k] != 0)).sum(axis=1) > 1]
-        for o in later.tolist():
-            a, b = sets[k], sets[o]
-            if find(int(own[k])) == find(int(own[o])) or min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
-                continue
-            if min(group[k][5] & group[o][5]) != key:
-                continue
-            both = len(a & b)
-            repeats = len(group[k][3]) > len(a) or len(group[o][3]) > len(b)  # without any, the alignment can't be the better measure
-            if both >= SIMILARITY * (len(a) + len(b) - both) or repeats and aligned(group[k][3], group[o][3]) >= SIMILARITY:
-                top[find(int(own[k]))] = find(int(own[o]))
+    kind = own.tolist()
+    for k, o in zip(*(x.tolist() for x in np.nonzero(np.triu(asked, 1))), strict=True):
+        a, b = sets[k], sets[o]
+        both = len(a & b)
+        # without repeated shingles the alignment can't be the better measure
+        if both >= SIMILARITY * (len(a) + len(b) - both) or (repeats[k] or repeats[o]) and aligned(group[k][3], group[o][3]) >= SIMILARITY:
+            x, y = find(kind[k]), find(kind[o])
+            if x != y:
+                top[x] = y
                 out.append((int(reps[k]), int(reps[o])))
     if out:
         yield pa.RecordBatch.from_pydict({"a": [x for x, _ in out], "b": [x for _, x in out]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
