@@ -84,8 +84,13 @@ def prefix(symbols: np.ndarray) -> np.ndarray:
     return out
 
 
+def symbols(raw: np.ndarray) -> np.ndarray:
+    """The random symbol of each byte."""
+    return _SYMBOL[raw]
+
+
 def byte_prefix(raw: np.ndarray) -> np.ndarray:
-    return prefix(_SYMBOL[raw])
+    return prefix(symbols(raw))
 
 
 def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -116,12 +116,25 @@ def _repeats(docs: DataFrame) -> bool:
 
 
 class Suffixes:
-    """Suffixes [begin, end) of a byte buffer, compared through prefix polynomial hashes."""
+    """Suffixes [start + offset, end) of the contexts [start, end) that follow each other in a byte buffer, compared through prefix polynomial hashes.
 
-    def __init__(self, data: bytes, begin: np.ndarray, end: np.ndarray):
-        self.data, self.begin, self.end = data, begin, end
-        raw = np.frombuffer(data, np.uint8)
-        self.raw, self.sums, self.inverse = raw, kernel.byte_prefix(raw), kernel.powers(len(raw) + 1)[1]
+    The powers begin again with every context, so a table as long as one context serves them all, and the sums are made piece by piece.
+    """
+
+    def __init__(self, data: bytes, start: np.ndarray, end: np.ndarray, offset: np.ndarray):
+        self.data, self.begin, self.end = data, start + offset, end
+        self.raw = np.frombuffer(data, np.uint8)
+        power, inverse = kernel.powers(int((end - start).max(initial=0)) + 1)
+        self.back = inverse[offset]
+        self.sums = np.zeros(len(self.raw) + 1, _U)
+        order = np.argsort(start)
+        for k in range(0, len(order), 1024):
+            some = order[k : k + 1024]
+            a, b = int(start[some[0]]), int(end[some[-1]])
+            size = (end - start)[some]
+            place = np.arange(b - a) - np.repeat(np.cumsum(size) - size, size)
+            np.cumsum(kernel.symbols(self.raw[a:b]) * power[place], dtype=_U, out=self.sums[a + 1 : b + 1])
+            self.sums[a + 1 : b + 1] += self.sums[a]
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length of the common extension of suffixes x and y, by binary search over hashes of equal length."""
@@ -131,7 +144,7 @@ class Suffixes:
         while len(todo):
             mid = (lo[todo] + hi[todo] + 1) >> 1
             p, q = bx[todo], by[todo]
-            same = (self.sums[p + mid] - self.sums[p]) * self.inverse[p] == (self.sums[q + mid] - self.sums[q]) * self.inverse[q]
+            same = (self.sums[p + mid] - self.sums[p]) * self.back[x[todo]] == (self.sums[q + mid] - self.sums[q]) * self.back[y[todo]]
             lo[todo], hi[todo] = np.where(same, mid, lo[todo]), np.where(same, hi[todo], mid - 1)
             todo = todo[lo[todo] < hi[todo]]
         return lo
@@ -220,13 +233,14 @@ def shared_strings(table_: DataFrame) -> DataFrame:
         ctx, left, n = chunk.column("ctx").to_pylist(), chunk.column("l").to_numpy().astype(np.int64), chunk.column("n").to_numpy()
         size = np.array(list(map(len, ctx)), np.int64)
         data, at = b"".join(ctx), np.cumsum(size) - size
-        order_r, shared_r = Suffixes(data, at + left, at + size).sort(first)
-        back = len(data) - at  # the bytes before the anchor, read backwards
-        order_l, shared_l = Suffixes(data[::-1], back - left, back).sort(first)
-        rank_r, rank_l = np.empty(len(ctx), np.int64), np.empty(len(ctx), np.int64)
-        rank_r[order_r] = rank_l[order_l] = np.arange(len(ctx))
-        far, near = np.full(len(ctx), -1), np.full(len(ctx), -1)
+        del ctx
         m = np.diff(first)
+        order_r, shared_r = Suffixes(data, at, at + size, left).sort(first)
+        back = len(data) - at  # the bytes before the anchor, read backwards
+        order_l, shared_l = Suffixes(data[::-1], back - size, back, size - left).sort(first)
+        rank_r, rank_l = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
+        rank_r[order_r] = rank_l[order_l] = np.arange(len(n))
+        far, near = np.full(len(n), -1), np.full(len(n), -1)
         two = first[:-1][m == 2]
         o, r = shared_l[two + 1], shared_r[two + 1]
         good = o + r >= SPAN

@@ -249,7 +249,7 @@ def test_suffix_sort_orders_and_survives_collisions(monkeypatch):
     at = np.cumsum([0, *map(len, words)])
     first = np.array([0, 1, 3, 3, 90, 200])
     for broken in (False, True):
-        s = suffixes.Suffixes(data, at[:-1].copy(), at[1:].copy())
+        s = suffixes.Suffixes(data, at[:-1].copy(), at[1:].copy(), np.zeros(200, np.int64))
         if broken:
             s.sums = np.zeros_like(s.sums)  # every hash collides
         order, shared = s.sort(first)
