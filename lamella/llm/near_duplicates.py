@@ -1,10 +1,12 @@
-"""Operator 5: near-duplicates by Order MinHash.
+"""Operator 5: near-duplicates by Order MinHash, and by plain MinHash for text that has moved.
 
 A document is its sequence of ``K``-word shingles, each labelled with how often
 it has occurred before. A sketch keeps the ``PICK`` labelled shingles of
 smallest hash and puts them in text order, so it agrees for texts that share
 shingles in the same order; ``SKETCHES`` sketches are made with different
-hashes. Documents that agree in a sketch are candidates, and candidates are
+hashes. As many sketches of the distinct shingles, without labels and order, agree
+for texts that share shingles wherever and however often they stand. Documents that
+agree in a sketch of either kind are candidates, and candidates are
 verified by a banded alignment of their shingles: the longest common sequence
 whose positions differ by no more than the similarity allows. A pair is linked
 if aligned shingles, or the shingle sets themselves (text moved within the
@@ -16,9 +18,8 @@ else, with one representative. Candidates come in two rounds. First every member
 of a sketch's bucket is held against the bucket's most central document (the one
 in the largest buckets, as the original of many copies is); that links groups of
 copies of any size with as many pairs as members. Then only buckets that still
-hold several classes are taken, and only members of different classes that agree
-in two sketches are held against each other (at similarity 0.8 one pair in 20,000
-agrees in fewer). Buckets of up to ``SMALL`` members give their pairs as rows,
+hold several classes are taken, and only members of different classes are held
+against each other. Buckets of up to ``SMALL`` members give their pairs as rows,
 at most SMALL / 2 for each member. Larger ones, where many texts are almost
 similar enough, go as blocks of at most ``BLOCK`` members, two at a time, to
 workers that return only links; every pair of members meets in a block, none is
@@ -33,6 +34,7 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,9 +47,9 @@ from .common import cut, map_arrow, small_batches, table, tidy
 from .components import components
 
 K, SIMILARITY = 5, 0.8
-#: At similarity 0.8 a sketch of 5 agrees with probability 0.8**5 = 0.33, so none of 32 does with probability 3e-6.
+#: At similarity 0.8 a sketch of 5 agrees with probability 0.8**5 = 0.33, so none of 32 does with probability 3e-6. Both kinds have as many.
 PICK, SKETCHES = 5, 32
-#: Documents of at most SHORT shingles also get sketches of one shingle: few shingles agree in five too seldom.
+#: Documents of at most SHORT shingles (all, or distinct ones) also get sketches of one shingle: few shingles agree in five too seldom.
 SHORT, SHORT_SKETCHES = 20, 10
 SMALL, BLOCK = 30, 500
 _U = np.uint64
@@ -79,22 +81,33 @@ def labelled(x: np.ndarray) -> np.ndarray:
     return np.where(nth > 0, kernel.mix(x + nth * _U(0x9E3779B97F4A7C15)), x)
 
 
-def sketch(x: np.ndarray) -> np.ndarray:
-    """Bucket keys of one document from its labelled shingles."""
-    out = []
+def _lowest(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per sketch the places of the PICK shingles of smallest hash, and of the smallest of the first SHORT_SKETCHES where there are few shingles."""
     hashed = (x[None, :] ^ (x[None, :] >> _U(31))) * _SEEDS[:, None]
+    few = np.argmin(hashed[:SHORT_SKETCHES], axis=1) if len(x) <= SHORT else np.zeros(0, np.int64)
     if len(x) > PICK:
-        low = np.argpartition(hashed, PICK - 1, axis=1)[:, :PICK]
+        return np.argpartition(hashed, PICK - 1, axis=1)[:, :PICK], few
+    return np.broadcast_to(np.arange(len(x)), (SKETCHES, len(x))), few
+
+
+def _chained(picked: np.ndarray, salt: int) -> np.ndarray:
+    key = np.zeros(SKETCHES, _U) + np.arange(salt, salt + SKETCHES).astype(_U)
+    for j in range(picked.shape[1]):
+        key = kernel.mix(key * _U(31) + picked[:, j])
+    return key
+
+
+def sketch(x: np.ndarray) -> np.ndarray:
+    """Distinct bucket keys of one document from its shingles in text order."""
+    named, plain = labelled(x), np.unique(x)
+    low, few = _lowest(named)
+    out = [_chained(named[np.sort(low, axis=1)], 0), kernel.mix(named[few] + np.arange(1000, 1000 + len(few)).astype(_U))]
+    if len(plain) == len(x):  # no shingle repeats: the same shingles are picked
+        out.append(_chained(np.sort(named[low], axis=1), 500))
     else:
-        low = np.broadcast_to(np.arange(len(x)), (SKETCHES, len(x)))
-    in_order = x[np.sort(low, axis=1)]
-    key = np.zeros(SKETCHES, _U) + np.arange(SKETCHES).astype(_U)
-    for j in range(in_order.shape[1]):
-        key = kernel.mix(key * _U(31) + in_order[:, j])
-    out.append(key)
-    if len(x) <= SHORT:
-        out.append(kernel.mix(x[np.argmin(hashed[:SHORT_SKETCHES], axis=1)] + np.arange(1000, 1000 + SHORT_SKETCHES).astype(_U)))
-    return np.concatenate(out)
+        low, few = _lowest(plain)
+        out += [_chained(np.sort(plain[low], axis=1), 500), kernel.mix(plain[few] + np.arange(1000, 1000 + len(few)).astype(_U))]
+    return np.unique(np.concatenate(out))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -103,7 +116,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for rows, raw, at in kernel.blocks(batch):
             x, start = shingles(raw, at)
-            keys = [sketch(labelled(x[a:b])).view(np.int64) if b > a else np.zeros(0, np.int64) for a, b in zip(start[:-1], start[1:], strict=True)]
+            keys = [sketch(x[a:b]).view(np.int64) if b > a else np.zeros(0, np.int64) for a, b in zip(start[:-1], start[1:], strict=True)]
             flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys)))
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("digest"), flat], ["doc_id", "digest", "keys"])
 
@@ -156,11 +169,11 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
-def links_within(members: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between members of different classes of large buckets: rows key, rep, n, class. A pair is tried in the first large bucket that both share."""
+def links_within(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between members of different classes of large buckets: rows key, rep, n, class. A pair is tried in the large bucket of the smallest key that both share."""
     asked = members.select("rep").distinct()
     held = members.groupBy("rep").agg(F.sort_array(F.collect_set("key")).alias("large"))
-    whole = asked.join(texts.withColumnRenamed("doc_id", "rep"), "rep").join(first, "rep").join(held, "rep")
+    whole = asked.join(texts.withColumnRenamed("doc_id", "rep"), "rep").join(held, "rep")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     dealt = members.select("key", "rep", "class", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
@@ -174,41 +187,36 @@ def links_within(members: DataFrame, first: DataFrame, texts: DataFrame) -> Data
                 x, start = shingles(raw, at)
                 sets += [x[p:q] for p, q in zip(start[:-1], start[1:], strict=True)]
             heads = [batch.column(c).to_pylist() for c in ("key", "i", "j", "mine", "rep", "class")]
-            keys, large = batch.column("keys"), batch.column("large")
+            large = batch.column("large")
             for k, (key, i, j, *rest) in enumerate(zip(*heads, strict=True)):
                 if (key, i, j) != now:
                     yield from tried(now, group)
                     now, group = (key, i, j), []
-                group.append((*rest, sets[k], keys[k].values.to_numpy(), frozenset(large[k].values.to_numpy().tolist())))
+                group.append((*rest, sets[k], large[k].values.to_numpy()))
         yield from tried(now, group)
         tidy()
 
     small_batches(members.sparkSession)
     rows = dealt.join(whole, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-    return rows.select("key", "i", "j", "mine", "rep", "class", "text", "keys", "large").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("key", "i", "j", "mine", "rep", "class", "text", "large").mapInArrow(run, "a long, b long").distinct()
 
 
 def tried(group_of: tuple | None, group: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """One batch of links between the members (block, rep, class, shingles, keys, large keys) of one or two blocks of a bucket."""
+    """One batch of links between the members (block, rep, class, shingles, large keys) of one or two blocks of a bucket."""
     if len(group) < 2:
         return
     key, i, j = group_of
     n = len(group)
     reps, own, block = (np.array([m[k] for m in group]) for k in (1, 2, 0))
-    keys = np.zeros((n, max(len(m[4]) for m in group)), np.int64)
-    ours = np.zeros(keys.shape, bool)  # keys whose bucket is a large one that the member is tried in
+    sharing = defaultdict(list)
     for k, m in enumerate(group):
-        keys[k, : len(m[4])] = m[4]
-        ours[k, : len(m[4])] = [x in m[5] for x in m[4].tolist()]
-    agree, first = np.zeros((n, n), np.uint8), np.full((n, n), 255, np.uint8)
-    for c in reversed(range(keys.shape[1])):
-        code = np.unique(keys[:, c], return_inverse=True)[1].astype(np.int32)
-        same = (code[:, None] == code[None, :]) & (keys[:, c] != 0)[:, None]
-        agree += same
-        first[same & ours[:, c][:, None] & ours[:, c][None, :]] = c
+        for x in m[4][m[4] < key].tolist():
+            sharing[x].append(k)
+    asked = own[:, None] != own[None, :]
+    for held in sharing.values():  # these pairs are tried there
+        if len(held) > 1:
+            asked[np.ix_(held, held)] = False
     size = np.array([len(m[3]) for m in group])
-    here = int(np.flatnonzero((keys == key).any(axis=0))[0])
-    asked = (agree > 1) & (first == here) & (own[:, None] != own[None, :])
     asked &= (block[:, None] != block[None, :]) if i != j else True
     sets = [frozenset(m[3].tolist()) for m in group]
     repeats = [len(s) < z for s, z in zip(sets, size.tolist(), strict=True)]
@@ -261,10 +269,10 @@ def classes(docs: DataFrame) -> DataFrame:
     rest = cut(known.join(mixed, "key"), "mixed")
     few = rest.where(F.col("n") <= SMALL)
     x, y = few.select("key", F.col("rep").alias("a"), F.col("class").alias("ca")), few.select("key", F.col("rep").alias("b"), F.col("class").alias("cb"))
-    cross = x.join(y, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
+    cross = x.join(y, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     two = cut(cross.join(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross-pairs")
     many = cut(rest.where(F.col("n") > SMALL), "large-buckets")
-    links = star.unionByName(verified(two, texts)).unionByName(links_within(many, first, texts))
+    links = star.unionByName(verified(two, texts)).unionByName(links_within(many, texts))
     label = cut(components(links), "classes").withColumnRenamed("node", "rep")
     member = made.select("doc_id", "digest").distinct().join(copies, "digest")
     return member.join(label, "rep", "left").select("doc_id", "digest", F.coalesce("class", "rep").alias("class_id"))

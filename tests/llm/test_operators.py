@@ -202,6 +202,42 @@ def test_near_duplicates_find_every_link(spark, monkeypatch, small, block):
     assert {r.doc_id: r.class_id for r in near_duplicates.classes(d).collect()} == {i: find(i) for i, _ in rows}
 
 
+@pytest.mark.parametrize(("small", "block"), [(30, 500), (3, 8)])
+def test_near_duplicates_find_moved_and_repeated_text(spark, monkeypatch, small, block):
+    monkeypatch.setattr(near_duplicates, "SMALL", small)
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    rows = []
+    for g in range(40):
+        w = prose(600, 50_000 + g).split()
+        cut = lambda n: [w[i : i + 600 // n] for i in range(0, 600, 600 // n)]  # noqa: B023, E731
+        mixed = cut(10)
+        random.Random(g).shuffle(mixed)
+        moved = [cut(1), cut(2)[::-1], cut(3)[::-1], cut(4)[::-1], mixed]
+        rows += [(g * 100 + k, " ".join(x for part in parts for x in part)) for k, parts in enumerate(moved)]
+        rows.append((g * 100 + 10, " ".join(w * 4)))  # as often repeated as no order or count would find
+        few = prose(14, 60_000 + g)
+        rows += [(g * 100 + 20 + k, " ".join([few] * k)) for k in (2, 3, 9)]
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    top = {i: i for i in sets}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                top[b] = a
+    assert all(find(g * 100 + k) == g * 100 for g in range(40) for k in (1, 2, 3, 4, 10))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_duplicates.classes(d).collect()} == {i: find(i) for i in sets}
+
+
 def test_substrings(spark, docs, none):
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "", json.dumps(sorted({x for s in (r.sub_spans or []) for x in range(s.start, s.stop)}))) for r in substrings.with_spans(docs).collect())
     first = {}
