@@ -3,17 +3,20 @@
 A page is parsed into elements. Elements that are menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles or reader comments by their
 tag, role, class or id go. For the others a site's template shows by repetition:
-every block element outside the page's article (``<article>`` or ``<main>``) is
-hashed with its whole subtree, Spark counts the pages of each host that hold the
-hash, and subtrees found on at least ``PAGES`` pages of the host are deleted, unless
-that would take most of the text that a page without an article has. What is left
+every block element is hashed with its whole subtree, and Spark counts for each
+host the different contents that the hash is held by: copies of a page or of an
+article are one content, so that they aren't template. In a page without an article
+(``<article>`` or ``<main>``) subtrees that at least ``PAGES`` contents of the host
+hold are deleted, however much of the page they are. Below an article those are
+deleted that at least ``PAGES`` articles of the host hold and at least ``SHARE`` of
+all its articles, so that a passage that some articles share stays. What is left
 of the article, or of the body where there is none, is the text: character
 references decoded, white space inside a block one space, blocks joined by one
 space in page order.
 
 Shape: one pass hashes; counts are aggregated per (host, hash) before the
 shuffle, so a host with a third of all pages is no hot task; pages that hold a
-repeated subtree outside menus and the like get the list of them by page key. A
+repeated subtree get the list of them by page key. A
 task holds one page.
 
 Defined cases: null or empty html gives an empty text; null url is the host ""; rows that
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, table
 
-PAGES = 8
+PAGES, SHARE = 8, 0.1
 #: Elements without content, elements that aren't text, elements that stand outside the main text, blocks, and elements that a new one of their kind closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("head script style noscript template iframe object svg math canvas audio video form button select option textarea input label title datalist".split())
@@ -145,19 +148,23 @@ def walk(node: Node) -> Iterator[tuple[str, object]]:
             todo += reversed(x.parts)
 
 
-def subtree_hashes(root: Node) -> dict[int, int]:
-    """Hash of every block element outside the articles, by id of the node; elements without text have none."""
-    inside = {id(x) for x in articles(root)}
-    out: dict[int, int] = {}
+def subtree_hashes(root: Node, found: list[Node]) -> tuple[dict[int, int], dict[int, int], int, int]:
+    """Hashes of the block elements below the articles ``found`` and of the others, by id of the node; elements without text have none. Then the hashes of the articles' content and of the page's."""
+    at = {id(x) for x in found}
+    inside: dict[int, int] = {}
+    outside: dict[int, int] = {}
+    content: list[int] = []
+    h = 0
     stack: list[list] = []
-    skip = 0
+    skip = depth = 0
     for what, x in walk(root):
         if skip:
             skip += (what == "open") - (what == "close")
         elif what == "open":
-            if id(x) in inside or x.tag in SILENT:
+            if x.tag in SILENT:
                 skip = 1
             else:
+                depth += id(x) in at
                 stack.append([x.tag, " ".join(sorted(x.attrs.get("class", "").split())), False])
         elif what == "text":
             words = " ".join(x.split())
@@ -167,12 +174,19 @@ def subtree_hashes(root: Node) -> dict[int, int]:
                     s[2] = True
         else:
             own = stack.pop()
-            h = int.from_bytes(hashlib.blake2b(repr(own).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+            h = _hash(own)
             if stack:
                 stack[-1].append(h)
-            if own[2] and x.tag in BLOCK and x.tag not in ("html", "body", "br", "hr"):
-                out[id(x)] = h
-    return out
+            if id(x) in at:
+                depth -= 1
+                content.append(h)
+            elif own[2] and x.tag in BLOCK and x.tag not in ("html", "body", "br", "hr"):
+                (inside if depth else outside)[id(x)] = h
+    return inside, outside, _hash(content), h
+
+
+def _hash(x: list) -> int:
+    return int.from_bytes(hashlib.blake2b(repr(x).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def _words(nodes: list[Node], gone: set[int], within: bool) -> str:
@@ -200,12 +214,8 @@ def main_text(html: str | None, repeated: set[int] = frozenset()) -> str:
         return ""
     root = parse(html)
     found = articles(root)
-    if found:
-        return _words(found, set(), True)
-    hashes = subtree_hashes(root) if repeated else {}
-    everything = _words([root], set(), False)
-    without = _words([root], {k for k, h in hashes.items() if h in repeated}, False) if hashes else everything
-    return without if 2 * len(without) >= len(everything) else everything
+    hashes = subtree_hashes(root, found)[0 if found else 1] if repeated else {}
+    return _words(found or [root], {k for k, h in hashes.items() if h in repeated}, bool(found))
 
 
 def _keyed(pages: DataFrame) -> DataFrame:
@@ -213,35 +223,43 @@ def _keyed(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", key.alias("pk"), F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1)).alias("host"))
 
 
-def templates(pages: DataFrame, least: int = PAGES) -> DataFrame:
-    """host and hash of the subtrees that at least ``least`` pages of the host hold."""
-    return page_hashes(pages).groupBy("host", "hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
+def templates(held: DataFrame, least: int = PAGES) -> DataFrame:
+    """host, inside and hash of the subtrees that are template of the host, from ``page_hashes``."""
+    counted = held.select("host", "inside", "hash", "content").distinct().groupBy("host", "inside", "hash").agg(F.count("*").alias("n"))
+    articles_of = counted.where("inside and hash is null").select(F.col("host").alias("h"), F.col("n").alias("articles"))
+    often = counted.where((F.col("n") >= least) & F.col("hash").isNotNull())
+    return often.join(articles_of, F.col("host") == F.col("h"), "left").where(~F.col("inside") | (F.col("n") >= SHARE * F.col("articles"))).select("host", "inside", "hash")
 
 
 def page_hashes(pages: DataFrame) -> DataFrame:
-    """host, page_id, pk, hash: one row for each distinct subtree of a page outside its article; open: the page has no article."""
+    """host, page_id, pk, hash, inside, content: one row for each distinct subtree of a page below its article (inside) or outside, and one with hash null for an article. content: tells different articles or pages apart; own: the text of the page is taken from there."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        row, hashes, lone = [], [], []
+        row, made = [], []
         for k, html in enumerate(batch.column("html")):
             html = html.as_py()
             if html:
                 root = parse(html)
-                found = set(subtree_hashes(root).values())
-                hashes += found
-                row += [k] * len(found)
-                lone += [not articles(root)] * len(found)
+                found = articles(root)
+                inside, outside, content, whole = subtree_hashes(root, found)
+                mine = [(h, False, whole, not found) for h in set(outside.values())]
+                if found:
+                    mine += [(h, True, content, True) for h in {None, *inside.values()}]
+                made += mine
+                row += [k] * len(mine)
         at = pa.array(row, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("host").take(at), batch.column("page_id").take(at), batch.column("pk").take(at), pa.array(hashes, pa.int64()), pa.array(lone, pa.bool_())], ["host", "page_id", "pk", "hash", "open"])
+        columns = [batch.column(c).take(at) for c in ("host", "page_id", "pk")]
+        columns += [pa.array([m[c] for m in made], kind) for c, kind in enumerate((pa.int64(), pa.bool_(), pa.int64(), pa.bool_()))]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "page_id", "pk", "hash", "inside", "content", "own"])
 
-    return map_arrow(_keyed(pages).select("host", F.col("page_id").cast("long").alias("page_id"), "pk", "html"), run, "host string, page_id long, pk long, hash long, open boolean")
+    return map_arrow(_keyed(pages).select("host", F.col("page_id").cast("long").alias("page_id"), "pk", "html"), run, "host string, page_id long, pk long, hash long, inside boolean, content long, own boolean")
 
 
 def extract(pages: DataFrame, least: int = PAGES) -> DataFrame:
     """page_id, url, text of every page."""
     held = cut(page_hashes(pages), "page-hashes")
-    template = held.groupBy("host", "hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= least).select("host", "hash")
-    mine = held.where("open").join(template, ["host", "hash"]).groupBy("page_id", "pk").agg(F.collect_set("hash").alias("repeated")).withColumnsRenamed({"page_id": "r_id", "pk": "r_key"})
+    template = cut(templates(held, least), "templates")
+    mine = held.where("own").join(template, ["host", "inside", "hash"]).groupBy("page_id", "pk").agg(F.collect_set("hash").alias("repeated")).withColumnsRenamed({"page_id": "r_id", "pk": "r_key"})
 
     def text_of(html: pd.Series, repeated: pd.Series) -> pd.Series:
         return pd.Series([main_text(x, set() if y is None else set(map(int, y))) for x, y in zip(html, repeated, strict=True)], dtype=object)

@@ -335,6 +335,23 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame(rows[:1], "page_id long, url string, html string").limit(0)).count() == 0
 
 
+def test_html_templates_of_any_length_and_in_articles(spark):
+    long = f"<div><p>{prose(300, 900)}</p></div>"
+    box = "<div class='x1'><p>Read our daily letter</p></div>"
+    outer = "<div><p>Outer words here</p></div>"
+    copied, shared = prose(30, 901), f"<p>{prose(20, 902)}</p>"
+    rows = [(i, "https://a.example/x", f"<body>{long}<div><p>{prose(20, 400 + i)}</p></div></body>") for i in range(12)]
+    rows += [(100 + i, "https://b.example/x", f"<body>{outer}<main>{box}<p>{prose(20, 500 + i)}</p>{shared if i < 9 else ''}</main></body>") for i in range(100)]
+    rows += [(300 + i, "https://b.example/y", f"<body><p>{i}</p><article><p>{copied}</p></article></body>") for i in range(12)]
+    rows += [(400 + i, "https://c.example/y", f"<body><div><p>{copied}</p></div></body>") for i in range(12)]
+    rows.append((500, "https://b.example/z", f"<body>{outer}<p>own</p></body>"))
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[500] == "own"
+    assert all(got[i] == prose(20, 400 + i) for i in range(12))
+    assert all(got[100 + i] == prose(20, 500 + i) + (f" {prose(20, 902)}" if i < 9 else "") for i in range(100))
+    assert all(got[k + i] == copied for i in range(12) for k in (300, 400))
+
+
 def test_personal_data_base():
     t = "mail a.b@c.de, 10.0.0.256 10.0.0.1 4111 1111 1111 1111 +1 (310) 555-4510 a@b.c@d.e a@b.c_x@e.f"
     found = [(k, t[s:e]) for s, k, e in personal_data.base(t)]
