@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import language
 from .functions import similarity as S
 from .functions import text as T
-from .operators import evidence, graph, grouping, store
+from .operators import evidence, graph, grouping, model, store
 from .plans import digest
 from .plans.digest import Digest, sql
 from .session import table
@@ -304,6 +304,7 @@ on("l_sampling", "select l_orderkey, l_linenumber, round(case when l_linenumber
     lambda t: t("lineitem").select("l_orderkey", "l_linenumber", F.round(0.2 + (0.8 - 0.2) * F.least(lit(1.0), col("l_linenumber") / 5.0), 6).alias("temperature")))
 on("l_cache_key", """select conv_id, turn, sha256('{"content":' || to_json(text) || ',"role":' || to_json(role) || '}') as cache_key from conversations where text is not null and not regexp_matches(text, '[\\x00-\\x1f/"]|\\\\')""")(
     lambda t: t("conversations").where(~col("text").rlike(r'[\x00-\x1f/"]|\\')).select("conv_id", "turn", F.sha2(F.concat(lit('{"content":"'), "text", lit('","role":"'), "role", lit('"}')), 256).alias("cache_key")))
+on("l_message_key")(lambda t: t("conversations").select("conv_id", "turn", model.key_column(col("text"), col("role")).alias("cache_key")))
 on("l_context", "select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) as context, count(*)::bigint turns from conversations group by conv_id")(
     lambda t: t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat(x["role"], lit(": "), x["text"])), "\n").alias("context"), F.count("*").alias("turns")))
 simple("l_validation", "chunks", "select id, problem from (select id, case when trim(label) = '' then 'label' when retention is null and importance is null then 'unmarked' when words = 0 then 'content' end problem from chunks) where problem is not null",

@@ -1,5 +1,7 @@
 """Every query with SQL against DuckDB on the smallest tables, and the streaming packer against the batch one."""
 
+import hashlib
+import json
 import os
 
 import duckdb
@@ -36,6 +38,14 @@ def test_query(spark, duck, name):
     assert _normal(map(tuple, got)) == _normal(expected)
 
 
+def test_message_key_takes_every_turn(spark, tmp_path):
+    said = ["plain", 'a\n\t"/\\ é', "", None]
+    spark.createDataFrame([(1, k, "user", x) for k, x in enumerate(said)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.turn: r.cache_key for r in catalog.QUERIES["l_message_key"](spark, str(tmp_path)).collect()}
+    whole = [{"content": x, "role": "user"} if x is not None else {"role": "user"} for x in said]
+    assert got == {k: hashlib.sha512(json.dumps(x, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest() for k, x in enumerate(whole)}
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
