@@ -1,7 +1,7 @@
 r"""Operator 7: personal data by bootstrapped contextual extraction.
 
 Base entities are found by fixed rules (email, ip, card, phone). They are the
-seeds of the method: the words around them are lexical patterns. Tokens of the
+seeds of the method: the two words before them are lexical patterns; words after them aren't. Tokens of the
 texts that look like an identifier but fail the base rules (a number with a
 wrong check digit, an address with a part missing) are further instances. Spark
 scores the bipartite graph of patterns and instances in ``ROUNDS`` rounds: a
@@ -107,7 +107,7 @@ def loose(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int, str,
 
 
 def context(text: str, start: int, end: int) -> str:
-    """The pattern: words before and the word after, lower-cased, digits as 0."""
+    """The pattern: the two words before, lower-cased, digits as 0."""
     left, words = text[max(0, start - 200) : start], []
     for _ in range(WORDS_AROUND):
         m = _LEFT.search(left)
