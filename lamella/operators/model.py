@@ -1,4 +1,4 @@
-"""Calling a model: retries, sampling schedule, and a cache that is a table (L1 to L5, L7, L8). No provider is built in; a client is any callable."""
+"""Calling a model: retries, sampling schedule, and a cache that is a table (L1 to L5, L7). No provider is built in; a client is any callable."""
 
 from __future__ import annotations
 
