@@ -1,20 +1,25 @@
 r"""Operator 7: personal data by bootstrapped contextual extraction.
 
 Base entities are found by fixed rules (email, ip, card, phone). They are the
-seeds of the method: the two words before them are lexical patterns; words after them aren't. Tokens of the
-texts that look like an identifier but fail the base rules (a number with a
-wrong check digit, an address with a part missing) are further instances. Spark
-scores the bipartite graph of patterns and instances in ``ROUNDS`` rounds: a
-pattern's confidence is the mean score of its instances, times the share that is
-of its kind, if at least ``SUPPORT`` different seeds in as many documents stand in
-it; an instance's score is one minus the product of its patterns' doubts. Patterns of at least
-``CONFIDENCE`` then turn the instances that they hold, of a shape that fits their
-kind, into spans. Base spans always stay, and no added span overlaps one.
-
-Shape: one pass over the text returns a few numbers and short strings per
-entity; everything after works on those. Edges are distinct (pattern, instance)
-pairs with counts, aggregated before the shuffle; scores are joined, never
-collected, and written each round.
+seeds of the method. Further candidates are tokens that look like no word: a digit
+or an @ among at least ``LEAST_CHARS`` characters, whatever their shape (account
+numbers, keys, passwords, a card number with a wrong check digit). A seed or candidate is
+an instance; its lexical patterns are the one and the two words before it, the one
+and the two words after it (what stands before the value in ``name=value`` is
+the word before), and, for candidates, their form: the kinds of their characters
+and their length. Spark scores the graph of patterns and instances in ``ROUNDS``
+rounds. A round induces patterns from the seeds and from the instances that the
+rounds before have found: those in which at least ``SUPPORT`` such instances from as many
+documents stand, and whose confidence, the mean score of all their instances, is at
+least ``CONFIDENCE``. An instance's score is one minus the product of its patterns' doubts;
+it is found at ``FOUND``. Instances that nothing speaks for lower the confidence of their patterns, so common words
+alone extract nothing where dates and the like are common; but they aren't counterexamples, so the
+least confidence is low and it takes several patterns to find an instance. Base spans always stay, and no added span overlaps one.
+
+Shape: one pass over the text returns a few numbers and digests per instance;
+everything after works on those. Edges are distinct (pattern, instance, document);
+scores are joined, never collected, and written each round, so that joins are of two plain
+exchanges that the planner can split at a very common pattern.
 
 Defined cases: null text is empty; rows that share a doc_id are told apart by
 their text; an empty table, or one without entities, gives zeros; other columns
@@ -25,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,20 +39,25 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, table, text_key
 
+#: The base kinds in the order of the listing; OTHER is what patterns find beside them.
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.8
-WORDS_AROUND = 2
+OTHER = "other"
+ROUNDS, SUPPORT, CONFIDENCE, FOUND = 5, 5, 0.2, 0.8
+LEAST_CHARS = 8
 #: The base patterns. A run of digits is tried from its first digit only: what fails there fails later in the run.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Tokens that look like an identifier of some kind, but need not pass its rule.
-LOOSE = {"email": re.compile(r"[^\s@<>\"']+@[^\s@<>\"']+"), "ip": re.compile(r"[0-9]+(?:\.[0-9]+){3,}"), "number": re.compile(r"\+?[0-9](?:[\x20().-]{0,2}[0-9]){6,}")}
+#: Tokens with a digit or an @, numbers written in groups, what comes before a value, and punctuation around a token.
+ODD = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
+GROUPS = re.compile(r"(?<![^\W_])\+?[0-9](?:[\x20().-]{0,2}[0-9]){6,}(?![^\W_])")
+KEY = re.compile(r"[A-Za-z_.-]+[=:](?=.)")
+AROUND = "\"'`()[]{}<>,;.:!?"
+TOKEN = re.compile(r"\S+")
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 _DIGIT, _NOT_DIGIT = re.compile(r"[0-9]"), re.compile(r"[^0-9]+")
-_LEFT, _RIGHT = re.compile(r"(\S+)\s*\Z"), re.compile(r"\s*(\S+)")
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -96,76 +107,134 @@ def base(text: str) -> list[tuple[int, str, int]]:
     return [(s, KINDS[k], e) for s, k, e in sorted(out)]
 
 
-def loose(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-    """Tokens of an identifier's shape that overlap no base entity."""
-    out = []
-    for shape, pattern in LOOSE.items():
-        if shape == "email" and "@" not in text or shape == "ip" and "." not in text or not _DIGIT.search(text) and shape != "email":
-            continue
-        out += [(m.start(), shape, m.end()) for m in pattern.finditer(text) if all(m.end() <= s or e <= m.start() for s, _, e in taken)]
+def odd_tokens(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the candidates: they overlap neither a base entity nor each other; a number in groups goes before the tokens that it is made of."""
+    ends = [e for _, _, e in sorted(taken, key=lambda x: x[2])]
+    starts = sorted(s for s, _, _ in taken)
+    free = lambda s, e: bisect_left(starts, e) == bisect_right(ends, s)
+    out = [m.span() for m in GROUPS.finditer(text) if m.end() - m.start() >= LEAST_CHARS and free(*m.span())]
+    numbers = [s for s, _ in out], [e for _, e in out]
+    for m in ODD.finditer(text):
+        s, e = m.span()
+        while e > s and text[e - 1] in AROUND:
+            e -= 1
+        key = KEY.match(text, s, e)
+        s = key.end() if key else s
+        while s < e and text[s] in AROUND:
+            s += 1
+        if e - s >= LEAST_CHARS and free(s, e) and bisect_left(numbers[0], e) == bisect_right(numbers[1], s):
+            if "@" in text[s:e] or _DIGIT.search(text, s, e):
+                out.append((s, e))
     return sorted(out)
 
 
-def context(text: str, start: int, end: int) -> str:
-    """The pattern: the two words before, lower-cased, digits as 0."""
-    left, words = text[max(0, start - 200) : start], []
-    for _ in range(WORDS_AROUND):
-        m = _LEFT.search(left)
-        if not m:
-            words.insert(0, "^")
-            break
-        words.insert(0, m[1])
-        left = left[: m.start()]
-    return _DIGIT.sub("0", " ".join(words).lower())
+def kind_of(token: str) -> str:
+    """What kind a found token is listed as."""
+    digits = _NOT_DIGIT.sub("", token)
+    if "@" in token:
+        return "email"
+    if re.fullmatch(r"[0-9]+(?:\.[0-9]+){3}", token):
+        return "ip"
+    if re.fullmatch(r"[0-9](?:[\x20-]?[0-9])+", token) and 12 <= len(digits) <= 19:
+        return "card"
+    if token[0] == "+" and 9 <= len(digits) <= 15:
+        return "phone"
+    return OTHER
+
+
+def form(token: str) -> str:
+    """The kinds of a token's characters, and its length."""
+    kinds = {"0" if "0" <= c <= "9" else "a" if c.islower() else "A" if c.isupper() else c if c < "\x80" and not c.isspace() else "?" for c in token}
+    return "".join(sorted(kinds)) + str(len(token))
+
+
+def contexts(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, str, str, str]]:
+    """For each span the one and the two words before it, the one and the two words after it: lower-cased, digits as 0; the rest of its own token counts as a word, tokens of punctuation don't."""
+    words = [m.span() for m in TOKEN.finditer(text)]
+    first, last = [s for s, _ in words], [e for _, e in words]
+
+    def two(k: int, step: int, s: int, e: int) -> list[str]:
+        out: list[str] = []
+        while 0 <= k < len(words) and len(out) < 2:
+            a, b = words[k]
+            word = text[a : min(b, s)] if step < 0 else text[max(a, e) : b]
+            if word.strip(AROUND):
+                out.append(word)
+            k += step
+        return [_DIGIT.sub("0", x.lower()) for x in out]
+
+    out = []
+    for s, e in spans:
+        left, right = two(bisect_left(first, s) - 1, -1, s, e), two(bisect_right(last, e), 1, s, e)
+        out.append((left[0] if left else "^", " ".join(left[::-1]) if len(left) == 2 else "^ " + "".join(left), right[0] if right else "$", " ".join(right) if len(right) == 2 else "".join(right) + " $"))
+    return out
+
+
+def _digest(x: str) -> bytes:
+    return hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=12).digest()
+
+
+def instances(text: str) -> list[tuple]:
+    """(start, end, kind, base, instance, patterns) in text order."""
+    if "@" not in text and not _DIGIT.search(text):
+        return []
+    known = base(text)
+    every = sorted([(s, e, k, True) for s, k, e in known] + [(s, e, kind_of(text[s:e]), False) for s, e in odd_tokens(text, known)])
+    if not every:
+        return []
+    around = contexts(text, [x[:2] for x in every])
+    out = []
+    for (s, e, kind, seed), four in zip(every, around, strict=True):
+        patterns = [_digest(f"{place}:{x}") for place, x in zip("lLrR", four, strict=True)]
+        out.append((s, e, kind, seed, _digest(text[s:e].lower()), patterns if seed else [*patterns, _digest("f:" + form(text[s:e]))]))
+    return out
+
+
+FOUND_TYPE = "array<struct<start:int,end:int,kind:string,base:boolean,instance:binary,patterns:array<binary>>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, tk, found: array of (start, end, kind or shape, base, pattern, instance) in text order."""
+    """doc_id, tk, found: the instances of every text in its order."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("base", pa.bool_()), ("instance", pa.binary()), ("patterns", pa.list_(pa.binary()))]))
+    names = ("start", "end", "kind", "base", "instance", "patterns")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for text in batch.column("text"):
-            text = text.as_py() or ""
-            known = base(text)
-            every = [(s, e, k, True) for s, k, e in known] + [(s, e, k, False) for s, k, e in loose(text, known)]
-            rows.append([{"start": s, "end": e, "kind": k, "base": b, "pattern": context(text, s, e), "instance": hashlib.blake2b(text[s:e].lower().encode(), digest_size=12).hexdigest()} for s, e, k, b in every])
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("base", pa.bool_()), ("pattern", pa.string()), ("instance", pa.string())]))
+        rows = [[dict(zip(names, x, strict=True)) for x in instances(text.as_py() or "")] for text in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tk"), pa.array(rows, kind)], ["doc_id", "tk", "found"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), "text")
-    return map_arrow(rows, run, "doc_id long, tk long, found array<struct<start:int,end:int,kind:string,base:boolean,pattern:string,instance:string>>")
-
-
-def patterns(entities: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """pattern, kind and confidence of the patterns that extract, after ``rounds`` of scoring. entities: doc_id, kind, base, pattern, instance."""
-    edges = cut(entities.groupBy("pattern", "instance", "kind", "base").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "pii-edges")
-    seeds = edges.where("base").groupBy("pattern", "kind").agg(F.count("*").alias("support"), F.approx_count_distinct("lo").alias("documents"))
-    strong = cut(seeds.where((F.col("support") >= SUPPORT) & (F.col("documents") >= SUPPORT)).withColumnRenamed("kind", "target"), "pii-patterns")
-    # a pattern's edges to the instances of its kind or of a shape that fits it; other entities count against it
-    fits = (F.col("kind") == F.col("target")) | (F.col("kind") == "number") & F.col("target").isin("card", "phone")
-    graph = cut(edges.join(strong, "pattern").withColumn("fits", fits), "pii-graph")
-    score = graph.select("instance", F.col("base").cast("double").alias("score")).groupBy("instance").agg(F.max("score").alias("score"))
-    found = None
+    return map_arrow(rows, run, f"doc_id long, tk long, found {FOUND_TYPE}")
+
+
+def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """instance and score of the candidates that patterns reach, after ``rounds`` rounds. occurrences: doc_id, base, instance, patterns."""
+    edges = cut(occurrences.select("doc_id", "base", "instance", F.explode("patterns").alias("pattern")).distinct(), "pii-edges")
+    seeds = edges.where("base").select("instance").distinct().withColumn("score", F.lit(1.0))
+    scores, found = cut(seeds, "pii-seeds"), None
     for _ in range(rounds):
-        found = cut(graph.join(score, "instance").groupBy("pattern", "target").agg((F.sum(F.when(F.col("fits"), F.col("score")).otherwise(0.0)) / F.count("*")).alias("confidence")), "pii-confidence")
-        doubt = F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence"))))
-        learnt = graph.where("fits").join(found, ["pattern", "target"]).groupBy("instance").agg(F.max(F.col("base").cast("int")).alias("b"), doubt.alias("d"))
-        score = cut(learnt.select("instance", F.when(F.col("b") == 1, 1.0).otherwise(1 - F.exp("d")).alias("score")), "pii-scores")
-    best = found.where(F.col("confidence") >= CONFIDENCE).groupBy("pattern").agg(F.max(F.struct("confidence", "target")).alias("x"))
-    return best.select("pattern", F.col("x.target").alias("target"), F.col("x.confidence").alias("confidence"))
+        scored = edges.join(scores, "instance", "left").select("pattern", "doc_id", "instance", F.coalesce("score", F.lit(0.0)).alias("score"))
+        per = scored.groupBy("pattern", "instance").agg(F.max("score").alias("score")).groupBy("pattern").agg(F.avg("score").alias("confidence"), F.sum((F.col("score") >= FOUND).cast("long")).alias("support"))
+        per = per.where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("pattern", "confidence")
+        in_documents = scored.where(F.col("score") >= FOUND).select("pattern", "doc_id").distinct().groupBy("pattern").agg(F.count("*").alias("documents")).where(F.col("documents") >= SUPPORT).select("pattern")
+        induced = cut(per.join(in_documents, "pattern"), "pii-patterns")
+        doubt = F.sum(F.log(1 - F.least("confidence", F.lit(0.99))))
+        reached = edges.where("not base").select("instance", "pattern").distinct().join(induced, "pattern").groupBy("instance").agg((1 - F.exp(doubt)).alias("score"))
+        found = cut(reached, "pii-scores")
+        scores = seeds.unionByName(found).groupBy("instance").agg(F.max("score").alias("score"))
+    return found
 
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, tk, entities: array of (start, kind, end, base) by start, then kind, of base entities and those that patterns added."""
-    found = cut(scan(docs), "pii-scan")
-    flat = found.select("doc_id", "tk", F.explode("found").alias("x")).select("doc_id", "tk", "x.*")
-    good = patterns(flat)
-    added = flat.where("not base").join(good, "pattern").where((F.col("kind") == F.col("target")) | (F.col("kind") == "number") & F.col("target").isin("card", "phone"))
-    added = added.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("start", F.col("target").alias("kind"), "end", F.lit(False).alias("base"))).alias("more")).withColumnsRenamed({"doc_id": "m_id", "tk": "m_key"})
+    seen = cut(scan(docs), "pii-scan")
+    flat = seen.select("doc_id", "tk", F.explode("found").alias("x")).select("doc_id", "tk", "x.*")
+    good = bootstrap(flat).where(F.col("score") >= FOUND).select("instance")
+    added = flat.where("not base").join(good, "instance", "left_semi")
+    added = added.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("start", "kind", "end", F.lit(False).alias("base"))).alias("more")).withColumnsRenamed({"doc_id": "m_id", "tk": "m_key"})
     known = F.transform(F.filter("found", lambda x: x["base"]), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(True).alias("base")))
-    both = found.select("doc_id", "tk", known.alias("known")).join(added, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("tk") == F.col("m_key")), "left")
+    both = seen.select("doc_id", "tk", known.alias("known")).join(added, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("tk") == F.col("m_key")), "left")
     none = F.array().cast("array<struct<start:int,kind:string,end:int,base:boolean>>")
-    rank = lambda x: F.array_position(F.array(*map(F.lit, KINDS)), x["kind"])
+    rank = lambda x: F.array_position(F.array(*map(F.lit, (*KINDS, OTHER))), x["kind"])
     order = lambda x, y: F.when(x["start"] != y["start"], x["start"] - y["start"]).otherwise((rank(x) - rank(y)).cast("int"))
     return both.select("doc_id", "tk", F.array_sort(F.concat("known", F.coalesce("more", none)), order).alias("entities"))
 
@@ -175,4 +244,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     known = F.filter("entities", lambda x: x["base"])
     of = lambda k: F.size(F.filter("entities", lambda x: x["base"] & (x["kind"] == F.lit(k)))).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *map(of, KINDS), F.sha2(said(known), 256).alias("base_sha256"), said(F.col("entities")).alias("spans"))
+    return found.select("doc_id", *map(of, KINDS), F.sha2(said(known), 256).alias("base_sha256"), said(F.col("entities")).alias("spans"), F.size("entities").cast("long").alias("n_spans"), (F.size("entities") - F.size(known)).cast("long").alias("n_added"))
