@@ -1,16 +1,15 @@
-"""Operator 5: near-duplicates by Order MinHash, and by plain MinHash for text that has moved.
+"""Operator 5: near-duplicates by Order MinHash.
 
 A document is its sequence of ``K``-word shingles, each labelled with how often
 it has occurred before. A sketch keeps the ``PICK`` labelled shingles of
 smallest hash and puts them in text order, so it agrees for texts that share
 shingles in the same order; ``SKETCHES`` sketches are made with different
-hashes. As many sketches of the distinct shingles, without labels and order, agree
-for texts that share shingles wherever and however often they stand. Documents that
-agree in a sketch of either kind are candidates, and candidates are
+hashes. Documents that agree in a sketch are candidates, and candidates are
 verified by a banded alignment of their shingles: the longest common sequence
 whose positions differ by no more than the similarity allows. A pair is linked
-if aligned shingles, or the shingle sets themselves (text moved within the
-document), have a Jaccard similarity of at least ``SIMILARITY``. Classes are the
+if the aligned shingles are at least ``SIMILARITY`` of all shingles of the two
+(aligned / (n + m - aligned), a Jaccard similarity that heeds the order). Edits link, a
+copy whose parts have changed places doesn't: that is what this method is for. Classes are the
 connected components of the links.
 
 Shape: exact copies fall together by the digest of their text before anything
@@ -21,14 +20,18 @@ copies of any size with as many pairs as members. Then only buckets that still
 hold several classes are taken, and only members of different classes are held
 against each other. Buckets of up to ``SMALL`` members give their pairs as rows,
 at most SMALL / 2 for each member. Larger ones, where many texts are almost
-similar enough, go as blocks of at most ``BLOCK`` members, two at a time, to
-workers that return only links; every pair of members meets in a block, none is
-left out.
+similar enough, are thinned first: a shingle that no other document of such a bucket
+holds can't be aligned, so a document with too many of them has no partner there and
+goes, which takes one count of shingles and no pairs. What is left goes as blocks
+of at most ``BLOCK`` members, two at a time, to workers that return only links; the same
+bound on the alignment drops most pairs of a block before they are aligned. No pair that could
+be a link is left out.
 
 Defined cases: null text is empty; a document without words is alone in its
 class; one of fewer than ``K`` words has one shingle, all its words; rows with a
-null doc_id get class null; rows that share a doc_id and a text are one document;
-an empty table gives an empty result; other columns are ignored.
+null doc_id get class null; rows that share a doc_id and a text are one document, and rows
+that share a doc_id only are joined in one class by it;
+an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,13 +46,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import cut, map_arrow, small_batches, table, tidy
+from .common import cut, map_arrow, packed, small_batches, table, tidy, unpacked
 from .components import components
 
 K, SIMILARITY = 5, 0.8
-#: At similarity 0.8 a sketch of 5 agrees with probability 0.8**5 = 0.33, so none of 32 does with probability 3e-6. Both kinds have as many.
+#: At similarity 0.8 a sketch of 5 agrees with probability 0.8**5 = 0.33, so none of 32 does with probability 3e-6.
 PICK, SKETCHES = 5, 32
-#: Documents of at most SHORT shingles (all, or distinct ones) also get sketches of one shingle: few shingles agree in five too seldom.
+#: Documents of at most SHORT shingles also get sketches of one shingle: few shingles agree in five too seldom (four of five never do).
 SHORT, SHORT_SKETCHES = 20, 10
 SMALL, BLOCK = 30, 500
 _U = np.uint64
@@ -99,15 +102,9 @@ def _chained(picked: np.ndarray, salt: int) -> np.ndarray:
 
 def sketch(x: np.ndarray) -> np.ndarray:
     """Distinct bucket keys of one document from its shingles in text order."""
-    named, plain = labelled(x), np.unique(x)
+    named = labelled(x)
     low, few = _lowest(named)
-    out = [_chained(named[np.sort(low, axis=1)], 0), kernel.mix(named[few] + np.arange(1000, 1000 + len(few)).astype(_U))]
-    if len(plain) == len(x):  # no shingle repeats: the same shingles are picked
-        out.append(_chained(np.sort(named[low], axis=1), 500))
-    else:
-        low, few = _lowest(plain)
-        out += [_chained(np.sort(plain[low], axis=1), 500), kernel.mix(plain[few] + np.arange(1000, 1000 + len(few)).astype(_U))]
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate((_chained(named[np.sort(low, axis=1)], 0), kernel.mix(named[few] + np.arange(1000, 1000 + len(few)).astype(_U)))))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -124,11 +121,17 @@ def sketches(docs: DataFrame) -> DataFrame:
     return map_arrow(rows, run, "doc_id long, digest binary, keys array<long>")
 
 
-def aligned(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two documents (shingle hashes in text order) by banded alignment; the larger of that and the Jaccard similarity of the sets."""
-    la, lb = labelled(a), labelled(b)
+def reachable(n, m, shared) -> np.ndarray:
+    """Whether texts of n and m shingles can be similar enough if at most ``shared`` can be aligned."""
+    return shared >= SIMILARITY * (n + m - shared)
+
+
+def aligned(la: np.ndarray, lb: np.ndarray) -> float:
+    """Similarity of two documents (labelled shingles in text order) by banded alignment."""
     _, i, j = np.intersect1d(la, lb, assume_unique=True, return_indices=True)
-    total = len(a) + len(b)
+    total = len(la) + len(lb)
+    if not reachable(len(la), len(lb), len(i)):
+        return len(i) / (total - len(i))
     band = total * (1 - SIMILARITY) / (1 + SIMILARITY) + 1  # more unmatched shingles than this and the pair can't reach the similarity
     near = np.abs(i - j) <= band
     i, j = i[near], j[near]
@@ -140,12 +143,16 @@ def aligned(a: np.ndarray, b: np.ndarray) -> float:
             at = bisect_left(tails, y)
             tails[at : at + 1] = [y]
         chain = len(tails)
-    best = chain / (total - chain)
-    if best < SIMILARITY:
-        sa, sb = np.unique(a), np.unique(b)
-        both = len(np.intersect1d(sa, sb, assume_unique=True))
-        best = max(best, both / (len(sa) + len(sb) - both))
-    return best
+    return chain / (total - chain)
+
+
+def _labelled_of(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
+    """The labelled shingles of every row."""
+    out: list[np.ndarray] = []
+    for _, raw, at in kernel.blocks(batch, column):
+        x, start = shingles(raw, at)
+        out += [labelled(x[p:q]) if q > p else x[p:q] for p, q in zip(start[:-1], start[1:], strict=True)]
+    return out
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -154,14 +161,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for first in range(0, batch.num_rows, 512):
             some = batch.slice(first, 512)
-            sides = []
-            for name in ("text_a", "text_b"):
-                made: list[np.ndarray] = []
-                for _, raw, at in kernel.blocks(some, name):
-                    x, start = shingles(raw, at)
-                    made += [x[p:q] for p, q in zip(start[:-1], start[1:], strict=True)]
-                sides.append(made)
-            good = [aligned(x, y) >= SIMILARITY for x, y in zip(*sides, strict=True)]
+            good = [aligned(x, y) >= SIMILARITY for x, y in zip(_labelled_of(some, "text_a"), _labelled_of(some, "text_b"), strict=True)]
             yield some.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
@@ -169,11 +169,32 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
-def links_within(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between members of different classes of large buckets: rows key, rep, n, class. A pair is tried in the large bucket of the smallest key that both share."""
+def thinned(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of large buckets (key, rep, class) that can have a partner there, of buckets that still hold several classes, with n; and rep, x (labelled shingles), common (how many of them another member holds)."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        x = _labelled_of(batch, "text")
+        at = pa.array(np.cumsum([0, *map(len, x)]), pa.int32())
+        flat = pa.array((np.concatenate(x) if x else np.zeros(0, _U)).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.ListArray.from_arrays(at, flat)], ["rep", "x"])
+
     asked = members.select("rep").distinct()
-    held = members.groupBy("rep").agg(F.sort_array(F.collect_set("key")).alias("large"))
-    whole = asked.join(texts.withColumnRenamed("doc_id", "rep"), "rep").join(held, "rep")
+    whole = cut(map_arrow(asked.join(texts.withColumnRenamed("doc_id", "rep"), "rep"), run, "rep long, x array<long>"), "large-shingles")
+    each = whole.select("rep", F.explode("x").alias("s"))
+    often = cut(each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s"), "common-shingles")
+    common = each.join(often, "s").groupBy("rep").agg(F.count("*").alias("common"))
+    # the best partner consists of the common shingles alone
+    held = cut(whole.join(common, "rep").where(F.col("common") >= SIMILARITY * F.size("x")), "thinned")
+    left = cut(members.select("key", "rep", "class").join(held.select("rep").distinct(), "rep"), "thinned-members")
+    mixed = left.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+    return cut(left.join(mixed, "key"), "thinned-buckets"), held
+
+
+def links_within(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between members of different classes of large buckets: rows key, rep, class. A pair is tried in the large bucket of the smallest key that both share."""
+    members, shingles_of = thinned(members, texts)
+    keys = members.groupBy("rep").agg(F.sort_array(F.collect_set("key")).alias("large"))
+    whole = shingles_of.join(keys, "rep")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     dealt = members.select("key", "rep", "class", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
@@ -182,44 +203,37 @@ def links_within(members: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, []
         for batch in batches:
-            sets: list[np.ndarray] = []
-            for _, raw, at in kernel.blocks(batch):
-                x, start = shingles(raw, at)
-                sets += [x[p:q] for p, q in zip(start[:-1], start[1:], strict=True)]
-            heads = [batch.column(c).to_pylist() for c in ("key", "i", "j", "mine", "rep", "class")]
-            large = batch.column("large")
+            heads = [batch.column(c).to_pylist() for c in ("key", "i", "j", "mine", "rep", "class", "common")]
+            large, x = batch.column("large"), batch.column("x")
             for k, (key, i, j, *rest) in enumerate(zip(*heads, strict=True)):
                 if (key, i, j) != now:
                     yield from tried(now, group)
                     now, group = (key, i, j), []
-                group.append((*rest, sets[k], large[k].values.to_numpy()))
+                group.append((*rest, x[k].values.to_numpy().copy(), large[k].values.to_numpy().copy()))
         yield from tried(now, group)
         tidy()
 
     small_batches(members.sparkSession)
     rows = dealt.join(whole, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-    return rows.select("key", "i", "j", "mine", "rep", "class", "text", "large").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("key", "i", "j", "mine", "rep", "class", "common", "x", "large").mapInArrow(run, "a long, b long").distinct()
 
 
 def tried(group_of: tuple | None, group: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """One batch of links between the members (block, rep, class, shingles, large keys) of one or two blocks of a bucket."""
+    """One batch of links between the members (block, rep, class, common, shingles, large keys) of one or two blocks of a bucket."""
     if len(group) < 2:
         return
     key, i, j = group_of
-    n = len(group)
-    reps, own, block = (np.array([m[k] for m in group]) for k in (1, 2, 0))
+    block, reps, own, common = (np.array([m[k] for m in group]) for k in range(4))
     sharing = defaultdict(list)
     for k, m in enumerate(group):
-        for x in m[4][m[4] < key].tolist():
+        for x in m[5][m[5] < key].tolist():
             sharing[x].append(k)
-    asked = own[:, None] != own[None, :]
+    size = np.array([len(m[4]) for m in group])
+    asked = (own[:, None] != own[None, :]) & reachable(size[:, None], size[None, :], np.minimum(common[:, None], common[None, :]))
     for held in sharing.values():  # these pairs are tried there
         if len(held) > 1:
             asked[np.ix_(held, held)] = False
-    size = np.array([len(m[3]) for m in group])
     asked &= (block[:, None] != block[None, :]) if i != j else True
-    sets = [frozenset(m[3].tolist()) for m in group]
-    repeats = [len(s) < z for s, z in zip(sets, size.tolist(), strict=True)]
     top = {int(c): int(c) for c in own}
 
     def find(c: int) -> int:
@@ -230,22 +244,25 @@ def tried(group_of: tuple | None, group: list[tuple]) -> Iterator[pa.RecordBatch
 
     out = []
     kind = own.tolist()
+    sets: dict[int, frozenset] = {}
     for k, o in zip(*(x.tolist() for x in np.nonzero(np.triu(asked, 1))), strict=True):
-        a, b = sets[k], sets[o]
-        both = len(a & b)
-        # without repeated shingles the alignment can't be the better measure
-        if both >= SIMILARITY * (len(a) + len(b) - both) or (repeats[k] or repeats[o]) and aligned(group[k][3], group[o][3]) >= SIMILARITY:
-            x, y = find(kind[k]), find(kind[o])
-            if x != y:
-                top[x] = y
-                out.append((int(reps[k]), int(reps[o])))
+        x, y = find(kind[k]), find(kind[o])
+        if x == y:
+            continue  # their classes are linked already
+        for m in (k, o):
+            if m not in sets:
+                sets[m] = frozenset(group[m][4].tolist())
+        if reachable(size[k], size[o], len(sets[k] & sets[o])) and aligned(group[k][4], group[o][4]) >= SIMILARITY:
+            top[x] = y
+            out.append((int(reps[k]), int(reps[o])))
     if out:
         yield pa.RecordBatch.from_pydict({"a": [x for x, _ in out], "b": [x for _, x in out]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, digest, class_id: the smallest doc_id of the class. One row per doc_id and text."""
-    made = cut(sketches(docs.select("doc_id", "text")), "sketches")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    made = cut(sketches(docs), "sketches")
     copies = made.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     first = made.join(copies.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep"))).where(F.size("keys") > 0)
     first = cut(first.dropDuplicates(["digest"]).select("rep", "keys"), "representatives")
@@ -257,46 +274,55 @@ def classes(docs: DataFrame) -> DataFrame:
     placed = cut(shared.join(central, "rep"), "placed")
     pivots = cut(placed.groupBy("key").agg(F.max(F.struct(F.col("c"), (-F.col("rep")).alias("r"))).alias("x")).select("key", (-F.col("x.r")).alias("pivot")), "pivots")
     known = cut(placed.join(pivots, "key").where("rep <> pivot"), "known")
-    # the text of a representative, told from other rows of its doc_id by the digest
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # exact copies have gone, so a representative's text is read from its row
+    texts = docs.where("doc_id is not null")
     one = cut(known.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "star-pairs")
     star = cut(verified(one, texts).distinct(), "star-links")
     # a first guess of the classes: the most central document linked, and what that one is linked to
     hop = cut(star.join(central.select(F.col("rep").alias("a"), "c"), "a").groupBy(F.col("b").alias("rep")).agg(F.max(F.struct("c", "a")).alias("x")).select("rep", F.col("x.a").alias("class")), "hop")
     far = hop.join(hop.select(F.col("rep").alias("class"), F.col("class").alias("top")), "class", "left").select("rep", F.coalesce("top", "class").alias("class"))
     known = cut(known.drop("c", "pivot").join(far, "rep", "left").select("key", "rep", "n", F.coalesce("class", "rep").alias("class")), "classed")
+    # the pivot has been held against every member; the others are left if they aren't of one class
     mixed = cut(known.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key"), "mixed-keys")
     rest = cut(known.join(mixed, "key"), "mixed")
     few = rest.where(F.col("n") <= SMALL)
     x, y = few.select("key", F.col("rep").alias("a"), F.col("class").alias("ca")), few.select("key", F.col("rep").alias("b"), F.col("class").alias("cb"))
     cross = x.join(y, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     two = cut(cross.join(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross-pairs")
-    many = cut(rest.where(F.col("n") > SMALL), "large-buckets")
+    many = cut(rest.where(F.col("n") > SMALL).select("key", "rep", "class"), "large-buckets")
     links = star.unionByName(verified(two, texts)).unionByName(links_within(many, texts))
     label = cut(components(links), "classes").withColumnRenamed("node", "rep")
     member = made.select("doc_id", "digest").distinct().join(copies, "digest")
     return member.join(label, "rep", "left").select("doc_id", "digest", F.coalesce("class", "rep").alias("class_id"))
 
 
+def _blank(text):
+    return ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return packed(docs, doc_id=docs["doc_id"], digest=F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))), blank=_blank(docs["text"]))
+
+
 def own_class(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Documents without words are alone: their digest is that of no words at all."""
-    blank = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    keyed = docs.withColumn("nd_digest", F.unhex(F.md5(F.coalesce("text", F.lit(""))))).withColumn("nd_blank", blank)
-    found = found.select(F.col("doc_id").alias("nd_id"), F.col("digest").alias("nd_d"), "class_id")
-    out = keyed.drop("text").join(found, (F.col("doc_id") == F.col("nd_id")) & (F.col("nd_digest") == F.col("nd_d")), "left")
-    return out.withColumn("class_id", F.when(F.col("nd_blank"), F.col("doc_id")).otherwise(F.col("class_id"))).drop("nd_id", "nd_d", "nd_blank", "nd_digest")
+    """``docs`` with class_id (in place of a column of that name). Documents without words are alone: their digest is that of no words at all."""
+    found = found.select(F.col("doc_id").alias("nd_id"), F.col("digest").alias("nd_d"), F.col("class_id").alias("nd_class"))
+    out = _keyed(docs).join(found, (F.col("doc_id") == F.col("nd_id")) & (F.col("digest") == F.col("nd_d")), "left")
+    return unpacked(out.withColumn("class_id", F.when(F.col("blank"), F.col("doc_id")).otherwise(F.col("nd_class"))), docs, "class_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one of the smallest doc_id; rows with a null doc_id stay. Its text isn't changed."""
+    """One document of each class, the one of the smallest doc_id; rows with a null doc_id stay. Its text isn't changed, and all its columns are kept."""
     found = classes(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("nd_id"), F.col("digest").alias("nd_d"))
-    blank = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    keyed = docs.withColumn("nd_digest", F.unhex(F.md5(F.coalesce("text", F.lit(""))))).withColumn("nd_blank", blank)
-    kept = keyed.join(found, (F.col("doc_id") == F.col("nd_id")) & (F.col("nd_digest") == F.col("nd_d")) & ~F.col("nd_blank"), "left_anti").select(*docs.columns)
-    ids = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null")) if ids else kept
+    kept = _keyed(docs).join(found, (F.col("doc_id") == F.col("nd_id")) & (F.col("digest") == F.col("nd_d")) & ~F.col("blank"), "left_anti")
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id", "digest"]).unionByName(kept.where("doc_id is null"))
+    return unpacked(kept, docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return own_class(docs, classes(docs)).select("doc_id", "class_id")
+    keyed = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"), _blank(F.col("text")).alias("blank"))
+    found = classes(docs).select(F.col("doc_id").alias("nd_id"), F.col("digest").alias("nd_d"), F.col("class_id").alias("nd_class"))
+    out = keyed.join(found, (F.col("doc_id") == F.col("nd_id")) & (F.col("digest") == F.col("nd_d")), "left")
+    return out.select("doc_id", F.when(F.col("blank"), F.col("doc_id")).otherwise(F.col("nd_class")).alias("class_id"))
