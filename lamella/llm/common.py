@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,9 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir`` of the session, or one of our own where that is unset (tests)."""
+    """The folder for intermediate tables: ``spark.checkpoint.dir`` of the session, or one of our own where that is unset and all runs in one process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = Path(tempfile.mkdtemp(prefix="lamella-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -98,9 +101,20 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
+def packed(docs: DataFrame, **columns) -> DataFrame:
+    """``docs`` as one struct column ``row``, beside the given expressions over its columns: whatever names its other columns have, none clashes with an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[x.alias(name) for name, x in columns.items()])
+
+
+def unpacked(df: DataFrame, docs: DataFrame, *added: str) -> DataFrame:
+    """The columns of ``docs`` again, and the added ones; these stand in place of columns of ``docs`` with the same name."""
+    taken = {x.lower() for x in added}
+    return df.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in taken], *added)
+
+
 def text_key(text="text"):
     """Tells rows with one doc_id apart by their text (null: as empty)."""
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def sized_broadcast(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:

@@ -12,7 +12,9 @@ Defined cases: null text has size 0 and is taken 0 words' worth of copies (its
 copies follow the rate all the same); null source is a source of its own, the
 last one; rows with the same doc_id get the same draw; an empty table gives an
 empty mix; a source of size 0 has target 0 and no copies. Extra columns pass
-through; columns that the operator adds have the prefix ``mix_``.
+through ``mix`` whatever their names; ``plan`` adds mix_size, mix_source_size, mix_target
+and mix_copies, in place of columns of ``docs`` with such a name. There may be as many sources as
+documents: they are ranked in ranges, with sums per range, not in one task.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, table
+from .common import SPACES, cut, packed, table, unpacked
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -44,31 +46,43 @@ def draws(doc_id, seeds: int = SEEDS) -> list[Column]:
     return out[:seeds]
 
 
+def running(df: DataFrame, order: list[Column], sums: list[str], name: str) -> DataFrame:
+    """``df`` with its place in the order (from 1) and for each of ``sums`` before_<name>, the sum over all rows before it (0 for the first).
+
+    Rows are dealt into ranges of the order and summed in each; one row per range is then summed up and joined back.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), name)
+    here = Window.partitionBy("range").orderBy(*order)
+    add = lambda x, over: F.coalesce(F.sum(x).over(over), F.lit(0))
+    inner = ranged.withColumn("place", F.row_number().over(here)).select("*", *[add(x, here.rowsBetween(Window.unboundedPreceding, -1)).alias(f"i_{x}") for x in sums])
+    total = ranged.groupBy(F.col("range").alias("of")).agg(F.count("*").alias("n"), *[F.sum(x).alias(f"t_{x}") for x in sums])
+    earlier = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    total = total.select("of", add("n", earlier).alias("n"), *[add(f"t_{x}", earlier).alias(f"t_{x}") for x in sums])
+    out = inner.join(F.broadcast(total), F.col("range") == F.col("of"))
+    return out.select(*df.columns, (F.col("place") + F.col("n")).alias("place"), *[(F.col(f"i_{x}") + F.col(f"t_{x}")).alias(f"before_{x}") for x in sums])
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
-    """One row per source: mix_source, mix_source_size, mix_target. The table has one row per source, so its ranks fit one task.
+    """One row per source: mix_source, mix_source_size, mix_target.
 
     With sources ordered by cap / weight, those up to some rank are at their cap and the others share the rest by weight: the first rank at
     which the share does not exceed the next cap is where sharing the excess again and again ends.
     """
     per = sizes.groupBy(F.col("source").alias("mix_source")).agg(F.sum("mix_size").alias("mix_source_size"))
-    order = Window.orderBy(F.col("mix_source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    per = per.withColumn("w", weight).withColumn("ceiling", F.col("mix_source_size") * F.lit(float(cap)))
-    every = Window.partitionBy()
-    by_ratio = Window.orderBy(F.col("ceiling") / F.col("w"), F.col("mix_source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("left", F.sum("mix_source_size").over(every) * F.lit(float(budget)) - F.coalesce(F.sum("ceiling").over(before), F.lit(0.0)))
-    per = per.withColumn("share", F.col("left") / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-    per = per.withColumn("open", F.col("share") * F.col("w") <= F.col("ceiling")).withColumn("place", F.row_number().over(by_ratio))
-    level = F.min(F.when(F.col("open"), F.struct("place", "share"))).over(every)["share"]
-    return per.select("mix_source", "mix_source_size", F.coalesce(F.least(F.col("ceiling"), level * F.col("w")), F.col("ceiling")).alias("mix_target"))
-
-
-def plan(docs: DataFrame, sizes: DataFrame | None = None, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP, seeds: int = SEEDS) -> DataFrame:
-    """``docs`` with mix_size, mix_source_size, mix_target and mix_copies. ``sizes``: doc_id, source and mix_size of the same rows, if at hand (docs then has mix_size)."""
-    if sizes is None:
-        docs = docs.withColumn("mix_size", word_count(F.col("text")))
-        sizes = docs.select("doc_id", "source", "mix_size")
+    per = running(per, [F.col("mix_source").asc_nulls_last()], [], "mix-sources")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int"))
+    per = per.withColumn("w", weight).drop("place").withColumn("ceiling", F.col("mix_source_size") * F.lit(float(cap)))
+    per = cut(running(per.withColumn("ratio", F.col("ceiling") / F.col("w")), [F.col("ratio"), F.col("mix_source").asc_nulls_last()], ["ceiling", "w"], "mix-ratios"), "mix-ranked")
+    every = per.agg(F.sum("mix_source_size").alias("all_sizes"), F.sum("w").alias("all_w"))
+    share = (F.col("all_sizes") * F.lit(float(budget)) - F.col("before_ceiling")) / (F.col("all_w") - F.col("before_w"))
+    shared = per.join(F.broadcast(every)).withColumn("share", share).where(F.col("share") * F.col("w") <= F.col("ceiling"))
+    level = shared.agg(F.min(F.struct("place", "share"))["share"].alias("level"))
+    return per.join(F.broadcast(level)).select("mix_source", "mix_source_size", F.coalesce(F.least(F.col("ceiling"), F.col("level") * F.col("w")), F.col("ceiling")).alias("mix_target"))
+
+
+def planned(rows: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP, seeds: int = SEEDS) -> DataFrame:
+    """``rows`` (doc_id, source, mix_size and others) with mix_source_size, mix_target and mix_copies."""
+    sizes = rows.select("doc_id", "source", "mix_size")
     goal = targets(sizes, weights, budget, cap).withColumn("mix_rate", F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0)))
     goal = goal.withColumn("mix_whole", F.floor("mix_rate")).withColumn("mix_part", F.col("mix_rate") - F.col("mix_whole"))
     on = F.col("source").eqNullSafe(F.col("mix_source"))
@@ -79,23 +93,31 @@ def plan(docs: DataFrame, sizes: DataFrame | None = None, weights=WEIGHTS, budge
     )
     off = F.array(*[F.struct(F.abs(F.col(f"s{k}") - F.col("p") * F.col("n")).alias("off"), F.lit(k).alias("k")) for k in range(seeds)])
     best = tried.select(F.col("mix_source").alias("best_source"), F.array_min(off)["k"].alias("mix_seed"))
-    goal = goal.join(best, F.col("mix_source").eqNullSafe(F.col("best_source"))).drop("best_source")
+    goal = cut(goal.join(best, F.col("mix_source").eqNullSafe(F.col("best_source"))).drop("best_source"), "mix-goals")
     drawn = F.element_at(F.array(*u), F.col("mix_seed") + 1)
-    out = docs.join(goal, on).withColumn("mix_copies", (F.col("mix_whole") + F.when(drawn < F.col("mix_part"), 1).otherwise(0)).cast("int"))
+    out = rows.join(goal, on).withColumn("mix_copies", (F.col("mix_whole") + F.when(drawn < F.col("mix_part"), 1).otherwise(0)).cast("int"))
     return out.drop("mix_source", "mix_rate", "mix_whole", "mix_part", "mix_seed")
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    return packed(docs, doc_id=docs["doc_id"], source=docs["source"], mix_size=word_count(docs["text"]))
+
+
+def plan(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with mix_size, mix_source_size, mix_target and mix_copies."""
+    return unpacked(planned(_rows(docs), **options), docs, "mix_size", "mix_source_size", "mix_target", "mix_copies")
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: every document as often as the plan says, with the columns of ``docs`` only."""
-    planned = plan(docs, **options).where("mix_copies > 0")
-    return planned.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[planned[c] for c in docs.columns])
+    taken = planned(_rows(docs), **options).where("mix_copies > 0")
+    return unpacked(taken.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))), docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sizes = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("mix_size")), "mix-sizes")
-    planned = plan(sizes, sizes=sizes)
-    return planned.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"), F.col("mix_copies").alias("copies"))
+    return planned(sizes).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"), F.col("mix_copies").alias("copies"))
 
 
 def _oracle() -> str:

@@ -13,8 +13,9 @@ sketch of its language, and that one the sketch of all.
 Defined cases: null or wordless text has counts of 0 and fails the base rule;
 null language or source is a group of its own; rows sharing a doc_id are judged
 each by its text; an empty table gives an empty result. Documents that fail the
-base rule don't enter the sketches. Extra columns pass through; added columns
-have the prefix ``q_``.
+base rule don't enter the sketches. Extra columns pass through ``keep_good`` whatever
+their names; ``features`` and ``judge`` add q_counts, q_base_failed and q_kept in place of
+columns with such a name, and ``judge`` leaves out columns named as its thresholds (q_lang and so on).
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table, tidy
+from .common import cut, packed, small_batches, table, tidy, unpacked
 
 ERROR = 0.01
 FENCE = 4.0
@@ -116,6 +117,7 @@ def thresholds(sketch: DataFrame) -> DataFrame:
 
 def judge(scored: DataFrame, limits: DataFrame) -> DataFrame:
     """``scored`` with q_kept. limits has one row per language and source; the planner broadcasts it if it is small."""
+    scored = scored.drop(*limits.columns)
     joined = scored.join(limits, scored["lang"].eqNullSafe(limits["q_lang"]) & scored["source"].eqNullSafe(limits["q_source"]), "left")
     good = ~F.col("q_base_failed")
     for name, (num, _, both) in FEATURES.items():
@@ -127,9 +129,11 @@ def judge(scored: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, unchanged. The counts are made twice, once for the sketches, so that no text is shuffled or stored."""
-    limits = cut(thresholds(sketches(features(docs.select("lang", "source", "text")))), "quality-limits")
-    return judge(features(docs), limits).where("q_kept").select(*docs.columns)
+    """The documents that pass, unchanged. Counts are made once: what passes the base rule is written with them, so that no text is shuffled."""
+    scored = features(packed(docs, lang=docs["lang"], source=docs["source"], text=docs["text"])).drop("text")
+    scored = cut(scored.where(~F.col("q_base_failed")), "quality-counts")
+    limits = cut(thresholds(sketches(scored)), "quality-limits")
+    return unpacked(judge(scored, limits).where("q_kept"), docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

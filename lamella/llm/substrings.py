@@ -22,7 +22,7 @@ Defined cases: null text is empty; a document of fewer than ``SPAN`` words, or
 with a null doc_id, loses nothing (a null doc_id isn't smaller than any either);
 repeats within one doc_id don't count; rows that share a doc_id are told apart by
 their text; an empty table gives an empty result; columns besides doc_id and text
-are ignored by the query and kept by ``remove``.
+are ignored by the query and kept by ``remove``, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import cut, map_arrow, table, text_key
+from .common import cut, map_arrow, packed, table, text_key, unpacked
 
 SPAN, K = 50, 10
 _U = np.uint64
@@ -172,8 +172,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def with_spans(docs: DataFrame) -> DataFrame:
     """``docs`` with sub_spans (null: nothing to remove)."""
     spans = repeated_spans(docs.select("doc_id", "text")).withColumnsRenamed({"doc_id": "s_id", "tk": "s_key", "spans": "sub_spans"})
-    keyed = docs.withColumn("sub_key", text_key())
-    return keyed.join(spans, (F.col("doc_id") == F.col("s_id")) & (F.col("sub_key") == F.col("s_key")), "left").drop("s_id", "s_key", "sub_key")
+    keyed = packed(docs, doc_id=docs["doc_id"], sub_key=text_key(docs["text"]))
+    return unpacked(keyed.join(spans, (F.col("doc_id") == F.col("s_id")) & (F.col("sub_key") == F.col("s_key")), "left"), docs, "sub_spans")
 
 
 def kept_words(text: str | None, spans: list[dict] | None) -> tuple[list[bytes], int]:
@@ -192,8 +192,9 @@ def remove(docs: DataFrame) -> DataFrame:
     def cleaned(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([x if y is None else b" ".join(kept_words(x, list(y))[0]).decode() for x, y in zip(text, spans, strict=True)])
 
-    marked = with_spans(docs)
-    return marked.withColumn("text", F.when(F.col("sub_spans").isNull(), F.col("text")).otherwise(F.pandas_udf(cleaned, "string")("text", "sub_spans"))).select(*docs.columns)
+    marked = with_spans(packed(docs, doc_id=docs["doc_id"], text=docs["text"]))
+    text = F.when(F.col("sub_spans").isNull(), F.col("text")).otherwise(F.pandas_udf(cleaned, "string")("text", "sub_spans"))
+    return unpacked(marked.withColumn("row", F.col("row").withField("text", text)), docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ Defined cases: null text is empty; texts shorter than ``SPAN`` bytes lose nothin
 rows that share a doc_id are different places if their texts differ, and repeated
 rows (same doc_id and text) are copies of each other as any others are; a null
 doc_id is a document like others; an empty table gives an empty result; columns
-besides doc_id and text are ignored by the query and kept by ``remove``.
+besides doc_id and text are ignored by the query and kept by ``remove``, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import cut, map_arrow, small_batches, table, text_key, tidy
+from .common import cut, map_arrow, packed, small_batches, table, text_key, tidy, unpacked
 
 SPAN, K = 400, 64
 HOT, PARTS = 20_000, 8
@@ -298,8 +298,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def with_spans(docs: DataFrame) -> DataFrame:
     """``docs`` with suf_spans (null: nothing to remove)."""
     spans = repeated_spans(docs.select("doc_id", "text")).withColumnsRenamed({"doc_id": "s_id", "tk": "s_key", "spans": "suf_spans"})
-    keyed = docs.withColumn("suf_key", text_key())
-    return keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("suf_key") == F.col("s_key")), "left").drop("s_id", "s_key", "suf_key")
+    keyed = packed(docs, doc_id=docs["doc_id"], suf_key=text_key(docs["text"]))
+    return unpacked(keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("suf_key") == F.col("s_key")), "left"), docs, "suf_spans")
 
 
 def kept_bytes(data: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
@@ -321,8 +321,9 @@ def remove(docs: DataFrame) -> DataFrame:
     def cleaned(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([x if y is None else kept_bytes(x.encode(), list(y))[0].decode("utf-8", "ignore") for x, y in zip(text, spans, strict=True)])
 
-    marked = with_spans(docs)
-    return marked.withColumn("text", F.when(F.col("suf_spans").isNull(), F.col("text")).otherwise(F.pandas_udf(cleaned, "string")("text", "suf_spans"))).select(*docs.columns)
+    marked = with_spans(packed(docs, doc_id=docs["doc_id"], text=docs["text"]))
+    text = F.when(F.col("suf_spans").isNull(), F.col("text")).otherwise(F.pandas_udf(cleaned, "string")("text", "suf_spans"))
+    return unpacked(marked.withColumn("row", F.col("row").withField("text", text)), docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -171,6 +172,44 @@ def test_near_duplicates(spark, docs, none):
     assert near_duplicates.classes(none).count() == 0
 
 
+def labels(text):
+    w, seen, out = RAW.findall(text), Counter(), []
+    for k in range(max(1, len(w) - 4)):
+        x = tuple(w[k : k + 5])
+        out.append((x, seen[x]))
+        seen[x] += 1
+    return out
+
+
+def alignment(a, b):
+    """Similarity by the longest common subsequence, with no band."""
+    at = {x: k for k, x in enumerate(b)}
+    places = [at[x] for x in a if x in at]
+    best = [0] * (len(places) + 1)  # every labelled shingle stands once, so the longest increasing run of places is the longest common subsequence
+    for k, x in enumerate(places):
+        best[k] = 1 + max((best[j] for j in range(k) if places[j] < x), default=0)
+    n = max(best)
+    return n / (len(a) + len(b) - n)
+
+
+def brute_classes(rows):
+    seen = {i: labels(t) for i, t in rows}
+    top = {i: i for i in seen}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    sets = {i: set(x) for i, x in seen.items()}
+    for i in seen:
+        for j in seen:
+            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and alignment(seen[i], seen[j]) >= 0.8:
+                x, y = sorted((find(i), find(j)))
+                top[y] = x
+    return {i: find(i) for i in seen}
+
+
 @pytest.mark.parametrize(("small", "block"), [(30, 500), (3, 8)])
 def test_near_duplicates_find_every_link(spark, monkeypatch, small, block):
     monkeypatch.setattr(near_duplicates, "SMALL", small)
@@ -181,61 +220,43 @@ def test_near_duplicates_find_every_link(spark, monkeypatch, small, block):
         rows += [(g * 100 + k, base if k == 0 else edited(base, 70 + 13 * k, 1000 + g * 10 + k)) for k in range(6)]
     rows += [(9000 + k, prose(30, 7000 + k) + " " + PASSAGE) for k in range(40)]
     rows += [(20_000 + k, edited(prose(150, 77), max(1, 150 // (1 + k % 9)), 8000 + k)) for k in range(60)]
-    sets = []
-    for _, t in rows:
-        w = t.split()
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
-    top = {i: i for i, _ in rows}
-
-    def find(x):
-        while top[x] != x:
-            x = top[x]
-        return x
-
-    for i in range(len(rows)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if both / (len(sets[i]) + len(sets[j]) - both) >= 0.8:
-                a, b = sorted((find(rows[i][0]), find(rows[j][0])))
-                top[b] = a
+    rows += [(30_000 + k, "und " * (300 + k)) for k in range(5)]  # repeated text, told apart by its labels
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.class_id for r in near_duplicates.classes(d).collect()} == {i: find(i) for i, _ in rows}
+    assert {r.doc_id: r.class_id for r in near_duplicates.classes(d).collect()} == brute_classes(rows)
 
 
-@pytest.mark.parametrize(("small", "block"), [(30, 500), (3, 8)])
-def test_near_duplicates_find_moved_and_repeated_text(spark, monkeypatch, small, block):
-    monkeypatch.setattr(near_duplicates, "SMALL", small)
-    monkeypatch.setattr(near_duplicates, "BLOCK", block)
-    rows = []
+def test_near_duplicates_heed_the_order(spark):
+    rows, moved = [], []
     for g in range(40):
         w = prose(600, 50_000 + g).split()
-        cut = lambda n: [w[i : i + 600 // n] for i in range(0, 600, 600 // n)]  # noqa: B023, E731
-        mixed = cut(10)
-        random.Random(g).shuffle(mixed)
-        moved = [cut(1), cut(2)[::-1], cut(3)[::-1], cut(4)[::-1], mixed]
-        rows += [(g * 100 + k, " ".join(x for part in parts for x in part)) for k, parts in enumerate(moved)]
-        rows.append((g * 100 + 10, " ".join(w * 4)))  # as often repeated as no order or count would find
-        few = prose(14, 60_000 + g)
-        rows += [(g * 100 + 20 + k, " ".join([few] * k)) for k in (2, 3, 9)]
-    sets = {}
-    for i, t in rows:
-        w = t.split()
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
-    top = {i: i for i in sets}
-
-    def find(x):
-        while top[x] != x:
-            x = top[x]
-        return x
-
-    for i in sets:
-        for j in sets:
-            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                a, b = sorted((find(i), find(j)))
-                top[b] = a
-    assert all(find(g * 100 + k) == g * 100 for g in range(40) for k in (1, 2, 3, 4, 10))
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.class_id for r in near_duplicates.classes(d).collect()} == {i: find(i) for i in sets}
+        rows += [(g * 100, " ".join(w)), (g * 100 + 1, edited(" ".join(w), 100, g)), (g * 100 + 2, " ".join(w[:295] + w[310:])), (g * 100 + 3, " ".join(w[300:] + w[:300]))]
+        rows.append((g * 100 + 4, " ".join(x for k in (3, 1, 0, 2) for x in w[150 * k : 150 * k + 150])))
+        moved += [g * 100 + 3, g * 100 + 4]
+    got = {r.doc_id: r.class_id for r in near_duplicates.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[g * 100 + k] == g * 100 for g in range(40) for k in (0, 1, 2))
+    assert all(got[i] == i for i in moved)
+
+
+def test_near_duplicates_recall_on_the_given_table(spark):
+    """All pairs of sf0.01 that are similar enough are in one class; 0.9 would be asked."""
+    sf = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(sf):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(sf).where("doc_id % 1 = 0")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect() if RAW.search(r.text or "")]
+    held, pairs = defaultdict(set), set()
+    seen = {i: labels(t) for i, t in rows}
+    for i, x in seen.items():
+        for y in set(x):
+            held[y].add(i)
+    count = Counter()
+    for group in held.values():
+        count.update((a, b) for a in group for b in group if a < b)
+    for (a, b), n in count.items():
+        if n >= 0.8 * (len(seen[a]) + len(seen[b]) - n) and alignment(seen[a], seen[b]) >= 0.8:
+            pairs.add((a, b))
+    got = {r.doc_id: r.class_id for r in near_duplicates.classes(docs).collect()}
+    assert len(pairs) > 50 and sum(got[a] == got[b] for a, b in pairs) == len(pairs)
 
 
 def test_substrings(spark, docs, none):
@@ -352,6 +373,54 @@ def test_html_templates_of_any_length_and_in_articles(spark):
     assert all(got[k + i] == copied for i in range(12) for k in (300, 400))
 
 
+def test_html_inside_articles():
+    page = "<article><p>a</p><div class='side-effects'><p>dose table</p></div><p class='share price'>b</p><label>l</label><aside>quote</aside>{}<p>c</p></article>"
+    assert html_text.main_text(page.format("")) == "a dose table b l quote c"
+    for box in ("<div class='ad'>x</div>", "<section id=comments>x</section>", "<nav>x</nav>", "<footer>x</footer>", "<form><label>x</label></form>", "<div role='complementary'>x</div>", "<p hidden>x</p>"):
+        assert html_text.main_text(page.format(box)) == "a dose table b l quote c"
+    assert html_text.main_text("<div class='site-header'>x</div><div class='side-effects'>y</div><div class='side'>z</div>") == "y"
+
+
+def brute_pages(rows):
+    """The same by sets in memory: contents that hold a subtree, per host."""
+    held, total = defaultdict(set), defaultdict(set)
+    host = lambda u: (re.match(html_text._HOST, u or "") or [None, ""])[1].lower()
+    trees = []
+    for i, url, html in rows:
+        root = html_text.parse(html or "")
+        found = html_text.articles(root)
+        inside, outside, content, whole = html_text.subtree_hashes(root, found)
+        trees.append((i, url, html, found, inside, outside))
+        for h in outside.values():
+            held[host(url), False, h].add(whole)
+        for h in inside.values():
+            held[host(url), True, h].add(content)
+        if found:
+            total[host(url)].add(content)
+    out = []
+    for i, url, html, found, inside, outside in trees:
+        gone = {h for h in (inside if found else outside).values() if len(held[host(url), bool(found), h]) >= html_text.PAGES and (not found or len(held[host(url), True, h]) >= html_text.SHARE * len(total[host(url)]))}
+        out.append((i, html_text.main_text(html, gone)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("again", [100_000, 0])
+def test_html_templates_against_brute_force(spark, monkeypatch, again):
+    monkeypatch.setattr(html_text, "AGAIN", again)
+    r = random.Random(8)
+    boxes = [f"<div class='b{k}'><p>{prose(6, 3000 + k)}</p></div>" for k in range(6)]
+    rows = []
+    for i in range(300):
+        parts = [f"<p>{prose(12, 4000 + i)}</p>", *(b for b in boxes if r.random() < 0.3)]
+        r.shuffle(parts)
+        body = "".join(parts)
+        rows.append((i, f"https://h{r.randrange(5)}.example/{i}", r.choice([f"<article>{body}</article>", f"<main>{body}</main>{boxes[0]}", f"{boxes[1]}<div>{body}</div>"])))
+    rows += [(900, None, None), (901, "", ""), rows[0], (0, rows[0][1], rows[1][2])]
+    got = sorted((x.page_id, x.text) for x in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == brute_pages(rows)
+    assert sum(text != html_text.main_text(html) for (_, text), (_, html) in zip(got, sorted((i, h) for i, _, h in rows), strict=True) if html and "<article" in html) > 20
+
+
 def test_personal_data_base():
     t = "mail a.b@c.de, 10.0.0.256 10.0.0.1 4111 1111 1111 1111 +1 (310) 555-4510 a@b.c@d.e a@b.c_x@e.f"
     found = [(k, t[s:e]) for s, k, e in personal_data.base(t)]
@@ -375,6 +444,92 @@ def test_personal_data_learns_contexts(spark):
     assert personal_data.find(spark.createDataFrame(rows, "doc_id long, text string").limit(0)).count() == 0
 
 
+def test_personal_data_base_against_plain_patterns():
+    r = random.Random(11)
+    digits = lambda x: re.sub(r"[^0-9]", "", x)
+    for _ in range(5000):
+        text = "".join(r.choice(["a", "b.c", "@", ".", "1", "23", "4242", " ", "-", "+", "(", ")", "x@y.z", "255", "256", "4111 1111 1111 1111", "é", "\n"]) for _ in range(r.randint(0, 30)))
+        want = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+        want += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+        want += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 12 <= len(digits(m[0])) <= 19 and personal_data.luhn(digits(m[0]))]
+        want += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m[0])) <= 15]
+        assert personal_data.base(text) == [(s, personal_data.KINDS[k], e) for s, k, e in sorted(want)]
+
+
+def brute_scores(texts):
+    """The rounds by dictionaries."""
+    edges = {(i, x[3], x[4], p) for i, t in texts for x in personal_data.instances(t or "") for p in x[5]}
+    seeds = {x for _, seed, x, _ in edges if seed}
+    score, found = dict.fromkeys(seeds, 1.0), {}
+    of, docs = defaultdict(set), defaultdict(set)
+    for i, _, x, p in edges:
+        of[p].add(x)
+        docs[p].add((i, x))
+    for _ in range(personal_data.ROUNDS):
+        induced = {}
+        for p, xs in of.items():
+            known = [x for x in xs if score.get(x, 0) >= personal_data.FOUND]
+            confidence = sum(score.get(x, 0) for x in xs) / len(xs)
+            if len(known) >= personal_data.SUPPORT and confidence >= personal_data.CONFIDENCE and len({i for i, x in docs[p] if x in known}) >= personal_data.SUPPORT:
+                induced[p] = confidence
+        doubt = {}
+        for x, p in {(x, p) for _, seed, x, p in edges if not seed and p in induced}:
+            doubt[x] = doubt.get(x, 1.0) * (1 - min(induced[p], 0.99))
+        found = {x: 1 - y for x, y in doubt.items()}
+        score = found | dict.fromkeys(seeds, 1.0)
+    return found
+
+
+def test_personal_data_bootstraps(spark):
+    r = random.Random(12)
+    prose_ = lambda n, k: prose(n, k).translate(str.maketrans("0123456789", "abcdefghij"))  # noqa: E731  digits of words would count as equal
+    common = ["the", "of", "and", "to"]
+    say = lambda x, k: f"{prose_(r.randint(3, 20), k)} {r.choice(common)} {x} {r.choice(common)} {prose_(8, k + 1)}"
+    rows = [(i, say(r.choice([f"u{i}.x@mail.example", f"10.0.{i}.7", luhn_number(i, True)]), i)) for i in range(100)]
+    rows += [(200 + i, say(f"key=Q{r.randrange(10**9):09}z", 300 + i)) for i in range(40)]  # never a seed: found through its neighbours, then by its own word and form
+    rows += [(300 + i, f"{prose_(9, i)} key=Q{r.randrange(10**9):09}z {prose_(9, i)}") for i in range(20)]
+    rows += [(400 + i, f"part 2024-{i % 12:02}-{i:02} {prose_(9, i)}") for i in range(60)] + [(500, None), (501, rows[0][1]), (0, rows[0][1])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    flat = personal_data.scan(d).selectExpr("doc_id", "tk", "explode(found) as x").select("doc_id", "tk", "x.*")
+    got = {bytes(x.instance): x.score for x in personal_data.bootstrap(flat).collect()}
+    assert got == pytest.approx(brute_scores(rows))
+    every = [(x.doc_id, x.entities) for x in personal_data.find(d).collect()]
+    assert len(every) == len(rows) and sum(i == 0 for i, _ in every) == 2
+    by = dict(every)
+    assert all([e.kind for e in by[i]] == ["other"] for k in (200, 300) for i in range(k, k + 20))
+    assert all(by[400 + i] == [] for i in range(60)) and by[500] == []
+
+
+CLASHES = [
+    (lambda d, b: mixing.mix(d), ["mix_source", "mix_copy", "mix_size", "mix_target", "range", "row", "w", "place"]),
+    (lambda d, b: quality.keep_good(d), ["q_lang", "q_source", "q_kept", "q_counts", "q_hi_symbols", "row"]),
+    (lambda d, b: substrings.remove(d), ["s_id", "s_key", "sub_key", "sub_spans", "tk", "row"]),
+    (lambda d, b: suffixes.remove(d), ["s_id", "s_key", "suf_key", "suf_spans", "tk", "row"]),
+    (lambda d, b: near_duplicates.keep_one(d), ["nd_id", "nd_d", "nd_digest", "digest", "class_id", "rep", "row"]),
+    (lambda d, b: decontaminate.drop_documents(d, b), ["hit_id", "hit_key", "doc_key", "bm_key", "h", "row"]),
+    (lambda d, b: decontaminate.drop_spans(d, b), ["bm_words", "bm_items", "hit_id", "doc_key", "row"]),
+]
+
+
+@pytest.mark.parametrize(("remove", "names"), CLASHES)
+def test_columns_with_clashing_names_are_kept(spark, remove, names):
+    rows = [(i, t, "en", "a", *(f"{name} {i}" for name in names)) for i, t in enumerate([BASE, BASE, edited(BASE, 150, 3), PASSAGE + " " + prose(40, 1), prose(40, 2) + " " + PASSAGE, prose(90, 3), None])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{x} string" for x in names))
+    bench = spark.createDataFrame([(1, PASSAGE, "x")], f"item_id long, text string, {names[0]} string")
+    out = remove(d, bench)
+    assert out.columns == d.columns
+    got = out.collect()
+    assert got and all(r[name] == f"{name} {r.doc_id}" for r in got for name in names)
+
+
+@pytest.mark.parametrize("name", ["mix_size", "q_kept", "sub_spans", "suf_spans", "bm_words"])
+def test_added_columns_replace_those_of_their_name(spark, name):
+    d = spark.createDataFrame([(1, BASE, "en", "a", "mine")], f"doc_id long, text string, lang string, source string, {name} string")
+    add = {"mix_size": mixing.plan, "q_kept": lambda x: quality.judge(s := quality.features(x), quality.thresholds(quality.sketches(s))), "sub_spans": substrings.with_spans, "suf_spans": suffixes.with_spans, "bm_words": lambda x: decontaminate.mark(x, x.select(x.doc_id.alias("item_id"), "text"))}[name]
+    out = add(d)
+    assert out.columns.count(name) == 1 and out.first()[name] != "mine"
+
+
 def test_packing_rows():
     for seed in range(20):
         r = random.Random(seed)
