@@ -69,9 +69,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete every table that ``cut`` has written."""
-    while _ours:
+def cut_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``cut`` of what ``make`` returns; the tables that ``make`` itself has cut are deleted when it is written."""
+    first = len(_ours)
+    out = cut(make(), name)
+    own = _ours.pop()
+    release(first)
+    _ours.append(own)
+    return out
+
+
+def release(first: int = 0) -> None:
+    """Delete the tables that ``cut`` has written, but for the ``first`` ones."""
+    while len(_ours) > first:
         spark, path = _ours.pop()
         try:
             jvm = spark.sparkContext._jvm

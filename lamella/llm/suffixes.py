@@ -47,6 +47,8 @@ SPAN, K = 400, 64
 HOT, PARTS = 20_000, 8
 #: Contexts that are sorted at a time, whole buckets at least.
 ROWS = 1024
+#: Contexts times offsets that are held against each other at once.
+CELLS = 1 << 17
 _REACH = SPAN - K
 _U = np.uint64
 
@@ -215,12 +217,28 @@ def reach(rank_r: np.ndarray, shared_r: np.ndarray, rank_l: np.ndarray, shared_l
     """
     m = len(rank_r)
     far, near = np.full(m, -1), np.full(m, -1)
-    for keep_far, offsets in ((True, np.unique(shared_l[1:])), (False, np.unique(span - shared_r[1:])[::-1])):
-        for o in offsets[(offsets >= 0) & (offsets <= span)]:
-            left = np.concatenate(([0], np.cumsum(shared_l[1:] < o)))[rank_l]
-            right = np.concatenate(([0], np.cumsum(shared_r[1:] < span - o)))[rank_r]
-            _, back, count = np.unique(left * m + right, return_inverse=True, return_counts=True)
-            (far if keep_far else near)[count[back] > 1] = o
+    offsets = np.unique(np.concatenate((shared_l[1:], span - shared_r[1:])))  # only at these the classes change
+    offsets = offsets[(offsets >= 0) & (offsets <= span)]
+    step = max(1, CELLS // m)
+    for k in range(0, len(offsets), step):
+        some = offsets[k : k + step, None]
+        left, right = np.zeros((len(some), m), np.int64), np.zeros((len(some), m), np.int64)
+        np.cumsum(shared_l[None, 1:] < some, axis=1, out=left[:, 1:])
+        np.cumsum(shared_r[None, 1:] < span - some, axis=1, out=right[:, 1:])
+        key = left[:, rank_l] * m + right[:, rank_r]
+        order = np.argsort(key, axis=1)
+        ranked = np.take_along_axis(key, order, axis=1)
+        same = ranked[:, 1:] == ranked[:, :-1]
+        both = np.zeros((len(some), m), bool)
+        both[:, 1:] = same
+        both[:, :-1] |= same
+        hit = np.zeros((len(some), m), bool)
+        np.put_along_axis(hit, order, both, axis=1)
+        any_ = hit.any(axis=0)
+        last = len(some) - 1 - hit[::-1].argmax(axis=0)
+        far[any_] = some[last[any_], 0]
+        new = any_ & (near < 0)
+        near[new] = some[hit.argmax(axis=0)[new], 0]
     return far, near
 
 
