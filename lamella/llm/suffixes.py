@@ -14,6 +14,10 @@ offset of a string over the anchor, which contexts share it. Common extensions o
 neighbours are verified byte by byte; a bucket with a hash collision is sorted by
 its bytes instead. A byte goes if some string over it starts anywhere else too.
 
+A passage of many words can be shorter than ``SPAN`` bytes. Such are not removed, but the
+query reports them: n_passages is n_spans, or where that is 0 the number of different
+windows of ``WORDS`` words that another document holds as well.
+
 Shape: two shuffles of the text, otherwise rows of a few numbers (about one for
 170 bytes) and, for the sort, one copy of each distinct context. Counts are
 aggregated before the shuffle, so copies of a document add no contexts. An anchor
@@ -41,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import cut, map_arrow, packed, small_batches, table, text_key, tidy, unpacked
+from .common import cut, cut_alone, map_arrow, packed, small_batches, table, text_key, tidy, unpacked
 
 SPAN, K = 400, 64
 HOT, PARTS = 20_000, 8
@@ -50,6 +54,8 @@ ROWS = 1024
 #: Contexts times offsets that are held against each other at once.
 CELLS = 1 << 17
 _REACH = SPAN - K
+#: Passages that are reported, not removed: windows of WORDS words that another document holds, found by their smallest WORD_K-word k-mer.
+WORDS, WORD_K = 50, 10
 _U = np.uint64
 
 
@@ -344,16 +350,96 @@ def remove(docs: DataFrame) -> DataFrame:
     return unpacked(marked.withColumn("row", F.col("row").withField("text", text)), docs)
 
 
+def shared_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """doc_id, tk, windows: how many different windows of ``WORDS`` words another document holds as well, for the documents without ``spans`` that have any.
+
+    A passage of that many words may be shorter than ``SPAN`` bytes, so the suffix sort needn't see it. Of the k-mers that are the smallest of a window,
+    those that several documents hold are looked for in the documents without spans; windows whose smallest k-mer is one of these are counted by a hash of 128 bits.
+    """
+    keyed = _keyed(docs)
+
+    def places(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for rows, raw, at in kernel.blocks(batch):
+            sums, first = _word_sums(raw, at)
+            key, pos = _word_anchors(sums, first)
+            row, h = kernel.row_of(first, pos), key[pos]
+            order = np.lexsort((h, row))
+            row, h = row[order], h[order]
+            one = np.ones(len(h), bool)
+            one[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            at_ = pa.array(row[one])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(at_), rows.column("tk").take(at_), kernel.signed(h[one])], ["doc_id", "tk", "h"])
+
+    def windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for rows, raw, at in kernel.blocks(batch):
+            sums, first = _word_sums(raw, at)
+            key, pos = _word_anchors(sums, first)
+            other = kernel.prefix(kernel.mix(np.diff(sums) * kernel.powers(len(sums))[1][: len(sums) - 1] + _U(0x5851F42D4C957F2D)))
+            small = key >> _U(33)
+            for k in range(rows.num_rows):
+                mine = pos[np.searchsorted(pos, first[k]) : np.searchsorted(pos, first[k + 1])]
+                asked = mine[np.isin(key[mine].view(np.int64), rows.column("g")[k].values.to_numpy())]
+                starts = (asked[:, None] - np.arange(WORDS - WORD_K + 1)[None, :]).ravel()
+                node = np.repeat(asked, WORDS - WORD_K + 1)
+                fits = (starts >= first[k]) & (starts + WORDS <= first[k + 1])
+                starts, node = starts[fits], node[fits]
+                if not len(starts):
+                    continue
+                # the window's smallest k-mer must be the one asked for
+                lo, hi = np.searchsorted(mine, starts), np.searchsorted(mine, starts + (WORDS - WORD_K + 1))
+                least = np.minimum.reduceat(np.append(small[mine], _U(2**40)), np.column_stack((lo, hi)).ravel())[::2]
+                starts = np.unique(starts[least == small[node]])
+                a, b = (kernel.mix(kernel.range_hash(x, starts, starts + WORDS)) for x in (sums, other))
+                _, keep = np.unique(a, return_index=True)
+                same = pa.array(np.full(len(keep), k))
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(same), rows.column("tk").take(same), rows.column("open").take(same), kernel.signed(a[keep]), kernel.signed(b[keep])], ["doc_id", "tk", "open", "a", "b"])
+
+    def several(rows: DataFrame, *by: str) -> DataFrame:
+        place = F.struct("doc_id", "tk")
+        return rows.groupBy(*by).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where(~F.col("lo").eqNullSafe(F.col("hi"))).select(*[F.col(x).alias(f"s_{x}") for x in by])
+
+    found = cut(map_arrow(keyed, places, "doc_id long, tk long, h long"), "word-anchors")
+    covered = spans.select(F.col("doc_id").alias("c_id"), F.col("tk").alias("c_key"))
+    asked = found.join(cut(several(found, "h"), "shared-anchors"), F.col("h") == F.col("s_h"))
+    asked = cut(asked.join(covered, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("tk") == F.col("c_key")), "left").select("doc_id", "tk", "h", F.col("c_key").isNull().alias("open")), "asked-anchors")
+    wanted = cut(asked.where("open").select(F.col("h").alias("w_h")).distinct(), "wanted-anchors")
+    per = asked.join(wanted, F.col("h") == F.col("w_h")).groupBy("doc_id", "tk").agg(F.collect_set("h").alias("g"), F.first("open").alias("open")).withColumnsRenamed({"doc_id": "g_id", "tk": "g_key"})
+    both = keyed.join(per, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("tk") == F.col("g_key"))).select("doc_id", "tk", "text", "g", "open")
+    held = cut(map_arrow(both, windows, "doc_id long, tk long, open boolean, a long, b long"), "word-windows")
+    twice = cut(several(held, "a", "b"), "shared-windows")
+    hit = held.where("open").join(twice, (F.col("a") == F.col("s_a")) & (F.col("b") == F.col("s_b")))
+    return hit.select("doc_id", "tk", "a", "b").distinct().groupBy("doc_id", "tk").agg(F.count("*").alias("windows"))
+
+
+def _word_sums(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums over the words' hashes of the block, and per row its first word."""
+    s, e, first = kernel.word_bounds(raw, at)
+    return kernel.prefix(kernel.word_hashes(raw, s, e)), first
+
+
+def _word_anchors(sums: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the k-mer at every word, and the positions of those that are the smallest of a window."""
+    n = len(sums) - 1
+    begin = np.arange(n)
+    key = kernel.mix(kernel.range_hash(sums, begin, np.minimum(begin + WORD_K, n)))
+    return key, kernel.minimizers(key, first, WORD_K, WORDS)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = cut_alone(lambda: repeated_spans(docs), "document-spans")
+    windows = cut_alone(lambda: shared_passages(docs, spans), "document-windows")
+    found = spans.join(windows.withColumnsRenamed({"doc_id": "w_id", "tk": "w_key"}), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("tk") == F.col("w_key")), "full")
+    found = found.select(F.coalesce("doc_id", "w_id").alias("s_id"), F.coalesce("tk", "w_key").alias("s_key"), F.col("spans").alias("suf_spans"), "windows")
+    keyed = _keyed(docs)
+    marked = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("tk") == F.col("s_key")), "left").select("doc_id", "text", "suf_spans", "windows")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = []
-        for doc_id, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("suf_spans").to_pylist(), strict=True):
+        for doc_id, text, spans, windows in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("suf_spans").to_pylist(), batch.column("windows").to_pylist(), strict=True):
             data = (text.as_py() or "").encode()
             kept, gone, runs = kept_bytes(data, spans)
-            out.append({"doc_id": doc_id, "n_bytes": len(data), "n_removed": gone, "n_spans": runs, "kept_sha256": hashlib.sha256(kept).hexdigest()})
-        yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
+            out.append({"doc_id": doc_id, "n_bytes": len(data), "n_removed": gone, "n_spans": runs, "kept_sha256": hashlib.sha256(kept).hexdigest(), "n_passages": runs or windows or 0})
+        yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_passages", pa.int64())]))
 
-    marked = with_spans(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "suf_spans")
-    return map_arrow(marked, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_arrow(marked, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long")

@@ -290,6 +290,18 @@ def test_suffixes(spark, docs, none):
     assert suffixes.remove(none).count() == 0 and suffixes.remove(docs).columns == docs.columns
 
 
+def test_suffixes_report_passages_of_many_short_words(spark, tmp_path):
+    short = " ".join(f"a{i % 10}{chr(98 + i // 10)}" for i in range(55))
+    rows = [(1, prose(70, 1) + " " + short), (2, short + "\n" + prose(60, 2)), (3, prose(90, 3)), (4, "x " * 70), (5, "x  " * 60), (6, "y " * 60), (7, BASE), (8, BASE), (None, short), (9, None), (10, " ".join(short.split()[:49])), (11, short), (11, short)]
+    assert len(short) < 400
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id or 0, r.n_spans, r.n_passages) for r in suffixes.query(spark, str(tmp_path)).collect())
+    whole = {k: {tuple(w[i : i + 50]) for w in [RAW.findall(t or "")] for i in range(len(w) - 49)} for k, (_, t) in enumerate(rows)}
+    same = lambda k, j: rows[k] == rows[j]  # noqa: E731  repeated rows are one document here
+    want = [(i or 0, n, n or len({x for x in whole[k] if any(x in whole[j] for j in whole if not same(k, j))})) for k, (i, t) in enumerate(rows) for n in [len([1 for b in [brute_bytes([t for _, t in rows])[k]] for y, x in enumerate(b) if y == 0 or b[y - 1] != x - 1])]]
+    assert got == sorted(want) and sum(n > 0 and not spans for _, spans, n in got) >= 5
+
+
 def test_suffixes_with_hot_anchors(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT", 3)
     core = prose(80, 50)
