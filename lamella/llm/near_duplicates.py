@@ -180,11 +180,11 @@ def thinned(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]
 
     asked = members.select("rep").distinct()
     whole = cut(map_arrow(asked.join(texts.withColumnRenamed("doc_id", "rep"), "rep"), run, "rep long, x array<long>"), "large-shingles")
-    each = whole.select("rep", F.explode("x").alias("s"))
-    often = cut(each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s"), "common-shingles")
-    common = each.join(often, "s").groupBy("rep").agg(F.count("*").alias("common"))
+    # a shingle that stands once names the document that holds it alone
+    alone = whole.select("rep", F.explode("x").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("rep").alias("o_rep")).where("c = 1").groupBy("o_rep").agg(F.count("*").alias("own"))
+    held = whole.join(alone, F.col("rep") == F.col("o_rep"), "left").select("rep", "x", (F.size("x") - F.coalesce("own", F.lit(0))).cast("int").alias("common"))
     # the best partner consists of the common shingles alone
-    held = cut(whole.join(common, "rep").where(F.col("common") >= SIMILARITY * F.size("x")), "thinned")
+    held = cut(held.where(F.col("common") >= SIMILARITY * F.size("x")), "thinned")
     left = cut(members.select("key", "rep", "class").join(held.select("rep").distinct(), "rep"), "thinned-members")
     mixed = left.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
     return cut(left.join(mixed, "key"), "thinned-buckets"), held
