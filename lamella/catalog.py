@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import language
 from .functions import similarity as S
 from .functions import text as T
-from .operators import evidence, graph, grouping, model, store
+from .operators import editor, evidence, graph, grouping, model, store
 from .plans import digest
-from .plans.digest import Digest, sql
+from .plans.digest import WIDE, Digest, sql
 from .session import table
+from .sinks import export
+from .sources import archive, epub, plain
 from .streaming.packer import pack_available
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,35 +79,58 @@ on("txt_title_fallback", "select c_custkey, coalesce(nullif(trim(case when c_cus
     lambda t: t("customer").select("c_custkey", F.coalesce(F.nullif(F.trim(F.when(col("c_custkey") % 3 == 0, "").otherwise(col("c_name"))), lit("")), F.nullif(F.trim(F.when(col("c_custkey") % 2 == 0, col("c_mktsegment"))), lit("")), F.concat(lit("Section "), F.expr("c_custkey div 10 + 1"), lit("."), col("c_custkey") % 10 + 1)).alias("title")))
 
 # --- similarity -----------------------------------------------------------------------------------------------------
-_PAIR = "(select a.item_id, lower(substr(a.text, 1, 24)) x, lower(substr(b.text, 1, 30)) y from benchmark a join benchmark b on b.item_id = a.item_id + 1)"
-_ASCII = "regexp_matches(x || y, '^[ -~]*$')"
+_PAIR = "(select a.item_id, lower(a.text) x, lower(b.text) y from benchmark a join benchmark b on b.item_id = a.item_id + 1)"
 _G = lambda v, n: f"case when {v} = '' then [] when length({v}) <= {n} then [{v}] else list_distinct(list_transform(range(1, length({v}) - {n} + 2), lambda i: substr({v}, i, {n}))) end"
 _D = lambda a, b: f"(case when len({a}) = 0 or len({b}) = 0 then 0 else 2.0::double * len(list_intersect({a}, {b})) / (len({a}) + len({b})) end)"
 
 
 def _pairs(t) -> DataFrame:
+    """Every item with the next, whole texts."""
     b = t("benchmark")
-    return b.select("item_id", F.lower(F.substring("text", 1, 24)).alias("x")).join(b.select((col("item_id") - 1).alias("item_id"), F.lower(F.substring("text", 1, 30)).alias("y")), "item_id")
+    return b.select("item_id", F.lower("text").alias("x")).join(b.select((col("item_id") - 1).alias("item_id"), F.lower("text").alias("y")), "item_id")
 
 
 _NG = f"select item_id, x, y, {_G('x', 2)} x2, {_G('y', 2)} y2, {_G('x', 3)} x3, {_G('y', 3)} y3 from {_PAIR}"
 on("sim_ngrams", f"select item_id, len(x2)::int n2, len(y3)::int n3, round({_D('x2', 'y2')}, 6) dice, round(({_D('x2', 'y2')} + {_D('x3', 'y3')}) / 2, 6) score from ({_NG})")(
     lambda t: _pairs(t).select("item_id", F.size(S.ngrams(col("x"), 2)).alias("n2"), F.size(S.ngrams(col("y"), 3)).alias("n3"), F.round(S.dice(S.ngrams(col("x"), 2), S.ngrams(col("y"), 2)), 6).alias("dice"), F.round(S.ngram_score(col("x"), col("y")), 6).alias("score")))
-on("sim_edit", f"select item_id, round(1 - levenshtein(x, y)::double / greatest(length(x), length(y)), 6) edit, round(1 - abs(length(x) - length(y))::double / greatest(length(x), length(y)), 6) len_sim from {_PAIR} where {_ASCII}")(
-    lambda t: _pairs(t).where(F.concat("x", "y").rlike("^[ -~]*$")).select("item_id", F.round(S.edit_similarity(col("x"), col("y")), 6).alias("edit"), F.round(S.length_similarity(col("x"), col("y")), 6).alias("len_sim")))
+#: DuckDB measures bytes: letters beyond ASCII become control characters there, one each, which keeps the distance.
+_LETTERS = "éèêëàâäçîïôöùûüñßíóáúìòœæ"
+_BYTES = " || ".join(f"chr({k})" for k in range(1, len(_LETTERS) + 1))
+_PLAIN = f"(select item_id, translate(x, '{_LETTERS}', {_BYTES}) x, translate(y, '{_LETTERS}', {_BYTES}) y from {_PAIR})"
+on("sim_edit", f"select item_id, round(1 - levenshtein(x, y)::double / greatest(length(x), length(y)), 6) edit, round(1 - abs(length(x) - length(y))::double / greatest(length(x), length(y)), 6) len_sim from {_PLAIN}")(
+    lambda t: _pairs(t).select("item_id", F.round(S.edit_similarity(col("x"), col("y")), 6).alias("edit"), F.round(S.length_similarity(col("x"), col("y")), 6).alias("len_sim")))
 on("sim_char_jaccard", f"select item_id, round(len(list_intersect(a, b))::double / greatest(1, len(list_distinct(a || b))), 6) j from (select item_id, list_distinct(list_filter(string_split(x, ''), lambda c: c <> '')) a, list_distinct(list_filter(string_split(y, ''), lambda c: c <> '')) b from {_PAIR})")(
     lambda t: _pairs(t).select("item_id", F.round(S.char_jaccard(col("x"), col("y")), 6).alias("j")))
-on("sim_common_substring", f"select item_id, round(2.0::double * coalesce(list_max(list_transform(list_filter(flatten(list_transform(range(1, length(x) + 1), lambda i: list_transform(range(1, length(x) - i + 2), lambda n: substr(x, i, n)))), lambda s: contains(y, s)), lambda s: length(s))), 0) / (length(x) + length(y)), 6) ratio from {_PAIR}")(
+# a common substring of length n has a run of n equal characters on one diagonal of the two texts
+on("sim_common_substring", f"""with p as materialized (select item_id, x, y from {_PAIR}), c as materialized (select item_id, i, unnest(range(1, length(y) + 1)) j, x, y from (select item_id, x, y, unnest(range(1, length(x) + 1)) i from p)),
+m as (select item_id, i - j as diag, i, i - row_number() over (partition by item_id, i - j order by i) run from c where substr(x, i, 1) = substr(y, j, 1)),
+l as (select item_id, max(n) n from (select item_id, count(*) n from m group by item_id, diag, run) group by item_id)
+select item_id, round(2.0::double * coalesce(n, 0) / (length(x) + length(y)), 6) ratio from p left join l using (item_id)""")(
     lambda t: _pairs(t).select("item_id", F.round(S.common_substring_ratio(col("x"), col("y")), 6).alias("ratio")))
+_SPACED = "' ' || trim(regexp_replace(lower({}), '[^0-9a-z]+', ' ', 'g')) || ' '"
+on("sim_contained", f"""select doc_id, item_id, round(case when trim(q) = trim(c) then 1 when nq = nc then 0.995 else least(1, 0.75 + 0.25 * length(nq)::double / length(nc) + case when length(nq) >= 12 and strpos(nc, nq) = 1 then 0.08 * (0.5 + 0.5 * least(1, length(nq)::double / length(nc))) else 0 end) end, 6)::double score
+from (select doc_id, item_id, d.text c, b.text q, lower(regexp_replace(d.text, '[^0-9A-Za-z]+', '', 'g')) nc, lower(regexp_replace(b.text, '[^0-9A-Za-z]+', '', 'g')) nq from (select *, {_SPACED.format("text")} s from documents) d join (select *, {_SPACED.format("text")} s from benchmark) b on contains(d.s, b.s) where b.s <> '  ')""")(
+    lambda t: _contained(t("documents").select("doc_id", "text"), t("benchmark").select("item_id", "text")))
+
+
+def _contained(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Items whose words stand in a document one after the other, with their score. They meet by the item's first words, at most HEAD of them; a document's words are hashed in windows as long."""
+    heads = 4
+    said = lambda x: F.array_remove(F.split(F.lower(x), "[^0-9a-z]+"), "")
+    spaced = lambda w: F.concat(lit(" "), F.array_join(w, " "), lit(" "))
+    q = items.select("item_id", col("text").alias("q"), said(col("text")).alias("w")).where(F.size("w") > 0).select("item_id", "q", spaced(col("w")).alias("qs"), F.xxhash64(F.slice("w", 1, heads)).alias("h"), F.least(F.size("w"), lit(heads)).alias("len"))
+    window = lambda w, n: F.transform(F.when(F.size(w) >= n, F.sequence(lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.slice(w, i, n)))
+    d = docs.select("doc_id", "text", F.explode(T.let(said(F.coalesce("text", lit(""))), lambda w: F.array_distinct(F.concat(*[window(w, n) for n in range(1, heads + 1)])))).alias("h"))
+    both = d.join(q, "h").dropDuplicates(["doc_id", "item_id", "text"]).where(F.contains(spaced(said(col("text"))), col("qs")))
+    return both.select("doc_id", "item_id", F.round(S.contained_score(col("q"), col("text"), T.ascii_normal(col("q")), T.ascii_normal(col("text")), "start_anchor"), 6).cast("double").alias("score"))
+
+
 _QUOTES = "(select doc_id, item_id, q, c, lower(regexp_replace(q, '[^0-9A-Za-z]+', '', 'g')) nq, lower(regexp_replace(c, '[^0-9A-Za-z]+', '', 'g')) nc from (select d.doc_id, b.item_id, substr(b.text, 1, 20) q, substr(d.text, 1, 120) c from documents d join benchmark b on d.doc_id % 20 = b.item_id % 20 where d.lang = 'en'))"
-on("sim_contained", f"""select doc_id, item_id, round(case when nq = '' or nc = '' then 0 when trim(q) = trim(c) then 1 when nq = nc then 0.995 when contains(nc, nq) then least(1, 0.75 + 0.25 * length(nq)::double / length(nc) + case when length(nq) >= 12 and strpos(nc, nq) = 1 then 0.08 * (0.5 + 0.5 * least(1, length(nq)::double / length(nc))) else 0 end) when contains(nq, nc) then least(0.92, 0.78 + 0.14 * length(nc)::double / length(nq)) end, 6)::double score from {_QUOTES}""")(
-    lambda t: t("documents").where("lang = 'en'").select("doc_id", F.substring("text", 1, 120).alias("c"), (col("doc_id") % 20).alias("m")).join(t("benchmark").select("item_id", F.substring("text", 1, 20).alias("q"), (col("item_id") % 20).alias("m")), "m")
-    .select("doc_id", "item_id", F.round(S.contained_score(col("q"), col("c"), T.ascii_normal(col("q")), T.ascii_normal(col("c")), "start_anchor"), 6).cast("double").alias("score")))
 simple("sim_rank", "fsent", "select serial_id, sidx, rank, prev_text, next_text from (select serial_id, sidx, row_number() over (partition by serial_id order by least(words, 20) desc, (length(text) > 40) desc, sidx) as rank, lag(text, 1, '') over (partition by serial_id order by sidx) prev_text, lead(text, 1, '') over (partition by serial_id order by sidx) next_text from fsent) where rank <= 3",
        lambda d: d.fsent.withColumn("prev_text", F.lag("text", 1, "").over(Window.partitionBy("serial_id").orderBy("sidx"))).withColumn("next_text", F.lead("text", 1, "").over(Window.partitionBy("serial_id").orderBy("sidx")))
        .withColumn("rank", store.number(F.least("words", lit(20)).desc(), (F.char_length("text") > 40).desc(), "sidx", within=("serial_id",))).where("rank <= 3").select("serial_id", "sidx", "rank", "prev_text", "next_text"))
-simple("sim_sentence_index", "fsent", "select text, count(*)::bigint n, min(serial_id * 100000 + sidx)::bigint first_id from fsent group by text having count(*) > 1",
-       lambda d: d.fsent.groupBy("text").agg(F.count("*").alias("n"), F.min(col("serial_id") * 100000 + col("sidx")).alias("first_id")).where("n > 1"))
+simple("sim_sentence_index", "fsent", f"select text, count(*)::bigint n, min(serial_id * {WIDE} + sidx)::bigint first_id from fsent group by text having count(*) > 1",
+       lambda d: d.fsent.groupBy("text").agg(F.count("*").alias("n"), F.min(col("serial_id") * WIDE + col("sidx")).alias("first_id")).where("n > 1"))
 simple("sim_chunk_words", "fsent chunks", "select c.id, sum(s.words)::bigint words from chunks c join fsent s on s.serial_id = c.serial_id and s.fragment_id = c.fragment_id and s.sentence_index between c.sentence_index and c.sentence_index + 2 group by c.id",
        lambda d: d.chunks.select("id", "serial_id", "fragment_id", F.explode(F.sequence(col("sentence_index"), col("sentence_index") + 2)).alias("sentence_index")).join(d.fsent.select("serial_id", "fragment_id", "sentence_index", "words"), ["serial_id", "fragment_id", "sentence_index"]).groupBy("id").agg(F.sum("words").alias("words")))
 simple("sim_range", "fsent", "select serial_id, s.sidx start_at, e.sidx end_at, (e.sidx - s.sidx + 1)::bigint n from (select serial_id, min(sidx) sidx from fsent where words >= 12 group by all) s join (select serial_id, max(sidx) sidx from fsent where words >= 12 group by all) e using (serial_id) where e.sidx >= s.sidx",
@@ -124,7 +150,7 @@ _CHUNK = ["id", "serial_id", "fragment_id", "sentence_index", "words", "retentio
 _C = ", ".join(_CHUNK)
 simple("st_chunks_save", "chunks", f"select {_C} from chunks where id % 3 <> 0 union all select id, serial_id, fragment_id, sentence_index, words + 1, retention, 'critical', weight + 1 from chunks where id % 3 = 0",
        lambda d: store.upsert(d.chunks.select(*_CHUNK), d.chunks.where("id % 3 = 0").select("id", "serial_id", "fragment_id", "sentence_index", (col("words") + 1).alias("words"), "retention", lit("critical").alias("importance"), (col("weight") + 1).alias("weight"), lit(2).alias("seq")).unionByName(d.chunks.where("id % 3 = 0").select(*_CHUNK, lit(1).alias("seq"))), "id"))
-simple("st_chunks_get", "chunks", f"select {_C} from chunks where id in (1, 100001, 200002)", lambda d: d.chunks.where(col("id").isin(1, 100001, 200002)).select(*_CHUNK))
+simple("st_chunks_get", "chunks", f"select {_C} from chunks where id in (1, {WIDE + 1}, {2 * WIDE + 2})", lambda d: d.chunks.where(col("id").isin(1, WIDE + 1, 2 * WIDE + 2)).select(*_CHUNK))
 simple("st_chunks_all", "chunks", f"select {_C} from chunks", lambda d: d.chunks.select(*_CHUNK).orderBy("id"))
 simple("st_chunks_by_fragments", "chunks", f"select {_C} from chunks where serial_id = 7 and fragment_id in (0, 2)", lambda d: d.chunks.where((col("serial_id") == 7) & col("fragment_id").isin(0, 2)).select(*_CHUNK).orderBy("id"))
 simple("st_chunks_by_serial", "chunks", f"select {_C} from chunks where serial_id = 11", lambda d: d.chunks.where("serial_id = 11").select(*_CHUNK).orderBy("id"))
@@ -141,7 +167,7 @@ simple("st_edges_all", "edges", f"select {_E} from edges", lambda d: _edge(d.edg
 simple("st_edges_by_serial", "edges chunks", f"select {_E.replace('weight, 6', 'e.weight, 6')} from edges e join chunks a on a.id = e.from_id join chunks b on b.id = e.to_id where a.serial_id = 5 and b.serial_id = 5",
        lambda d: _edge(store.within(d.edges, d.chunks.where("serial_id = 5"), "from_id", "to_id")))
 simple("st_edges_incoming", "edges", f"select {_E} from edges where to_id = 100003", lambda d: _edge(d.edges.where("to_id = 100003")))
-simple("st_edges_outgoing", "edges", f"select {_E} from edges where from_id = 100009", lambda d: _edge(d.edges.where("from_id = 100009")))
+simple("st_edges_outgoing", "edges", f"select {_E} from edges where from_id = {8 * WIDE + 9}", lambda d: _edge(d.edges.where(col("from_id") == 8 * WIDE + 9)))
 simple("st_edges_within", "edges", f"select {_E} from edges where from_id % 2 = 0 and to_id % 2 = 0", lambda d: _edge(store.within(d.edges, d.chunks.where("id % 2 = 0"), "from_id", "to_id")))
 simple("st_groups_list", "groups", "select group_id, fragment_id from groups where serial_id = 3", lambda d: d.groups.where("serial_id = 3").select("group_id", "fragment_id").orderBy("group_id", "fragment_id"))
 simple("st_groups_serials", "groups", "select distinct serial_id from groups", lambda d: d.groups.select("serial_id").distinct().orderBy("serial_id"))
@@ -150,11 +176,6 @@ simple("st_groups_save", "groups", "select serial_id, case when fragment_id = 0
        lambda d: store.upsert(d.groups, d.groups.where("fragment_id > 0").select("serial_id", (col("group_id") + 1).alias("group_id"), "fragment_id", lit(1).alias("seq")), "serial_id", "fragment_id"))
 simple("st_fragment_sentence", "fsent", "select serial_id, fragment_id, text from fsent where sentence_index = 1", lambda d: d.fsent.where("sentence_index = 1").select("serial_id", "fragment_id", "text"))
 simple("st_fragment_words", "fsent", "select serial_id, fragment_id, sum(words)::bigint words from fsent group by all", lambda d: d.fsent.groupBy("serial_id", "fragment_id").agg(F.sum("words").alias("words")))
-on("st_nation_region", "select n.n_name, r.r_name, count(*)::bigint customers from customer c join nation n on c.c_nationkey = n.n_nationkey join region r on n.n_regionkey = r.r_regionkey group by all")(
-    lambda t: t("customer").join(t("nation"), col("c_nationkey") == col("n_nationkey")).join(t("region"), col("n_regionkey") == col("r_regionkey")).groupBy("n_name", "r_name").agg(F.count("*").alias("customers")))
-on("st_events_latest", "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) r from events) where r = 1")(
-    lambda t: t("events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("x")).select("user_id", "x.event_id", "x.event_type"))
-
 # --- joins ----------------------------------------------------------------------------------------------------------
 simple("j_endpoint_weights", "edges chunks", "select e.from_id, e.to_id, f.weight wf, t.weight wt from edges e join chunks f on f.id = e.from_id join chunks t on t.id = e.to_id",
        lambda d: d.edges.select("from_id", "to_id").join(d.chunks.select(col("id").alias("from_id"), col("weight").alias("wf")), "from_id").join(d.chunks.select(col("id").alias("to_id"), col("weight").alias("wt")), "to_id"))
@@ -202,12 +223,8 @@ simple("a_incision", "infos", "select serial_id, fragment_id, words_count, round
 simple("a_threshold", "thr", "select serial_id, round(threshold, 6) threshold from thr",
        lambda d: d.infos.select("serial_id", F.explode(F.array("start_incision", "end_incision")).alias("v")).where("v > 0").groupBy("serial_id").agg(F.sort_array(F.collect_list("v")).alias("x")).select("serial_id", F.round(F.element_at("x", F.least(F.floor(F.size("x") * 0.98), F.size("x") - 1).cast("int") + 1), 6).alias("threshold")))
 simple("a_normalized", "scored", "select * from scored", lambda d: d.scored)
-simple("a_best_marks", "chunks", "select serial_id, fragment_id, arg_max(id, (case retention when 'verbatim' then 4 when 'detailed' then 3 when 'focused' then 2 when 'relevant' then 1 else 0 end) * 1000000000000 - id) r, arg_max(id, (case importance when 'critical' then 3 when 'important' then 2 when 'helpful' then 1 else 0 end) * 1000000000000 - id) i from chunks group by all",
+simple("a_best_marks", "chunks", "select serial_id, fragment_id, arg_max(id, (case retention when 'verbatim' then 4 when 'detailed' then 3 when 'focused' then 2 when 'relevant' then 1 else 0 end) * 1000000000000000000 - id) r, arg_max(id, (case importance when 'critical' then 3 when 'important' then 2 when 'helpful' then 1 else 0 end) * 1000000000000000000 - id) i from chunks group by all",
        lambda d: d.chunks.groupBy("serial_id", "fragment_id").agg(F.max_by("id", F.struct(digest.rank_of("retention", {"verbatim": 4, "detailed": 3, "focused": 2, "relevant": 1}), -col("id"))).alias("r"), F.max_by("id", F.struct(digest.rank_of("importance", {"critical": 3, "important": 2, "helpful": 1}), -col("id"))).alias("i")))
-on("a_review_score", "select o_orderkey, (sum(case l_returnflag when 'R' then 9 when 'A' then 3 else 1 end * l_linenumber))::double score from orders join lineitem on l_orderkey = o_orderkey group by o_orderkey")(
-    lambda t: t("lineitem").groupBy(col("l_orderkey").alias("o_orderkey")).agg(F.sum((F.when(col("l_returnflag") == "R", 9).when(col("l_returnflag") == "A", 3).otherwise(1)) * col("l_linenumber")).cast("double").alias("score")))
-on("a_best_version", "select l_orderkey, min(l_linenumber)::bigint linenumber from lineitem l join (select l_orderkey, min(l_extendedprice) p from lineitem group by 1) using (l_orderkey) where l_extendedprice = p group by 1")(
-    lambda t: t("lineitem").groupBy("l_orderkey").agg(F.min(F.struct("l_extendedprice", "l_linenumber"))["l_linenumber"].cast("long").alias("linenumber")))
 simple("a_clue_weight", "chunks", "select id, case when sum(weight) over (partition by serial_id) = 0 then 0 else round(weight / sum(weight) over (partition by serial_id), 6) end w from chunks",
        lambda d: d.chunks.select("id", F.sum("weight").over(Window.partitionBy("serial_id")).alias("t"), "weight").select("id", F.when(col("t") == 0, 0.0).otherwise(F.round(col("weight") / col("t"), 6)).alias("w")))
 simple("a_fragments_per_group", "chunks infos", f"select serial_id, group_id, string_agg(distinct fragment_id::varchar, ',' order by fragment_id::varchar) f from {_CG} group by all", lambda d: _chunk_groups(d).groupBy("serial_id", "group_id").agg(F.array_join(F.sort_array(F.collect_set(col("fragment_id").cast("string"))), ",").alias("f")))
@@ -231,8 +248,6 @@ simple("w_greedy_groups", "groups", "select serial_id, group_id, fragment_id fro
 simple("w_decayed_top", "chunks", "select serial_id, id, r from (select serial_id, id, row_number() over (partition by serial_id order by round(weight * pow(0.5, fragment_id), 9) desc, id) r from chunks) where r <= 7",
        lambda d: d.chunks.select("serial_id", "id", store.number(F.round(col("weight") * F.pow(lit(0.5), col("fragment_id")), 9).desc(), "id", within=("serial_id",)).alias("r")).where("r <= 7"))
 simple("w_sentence_order", "chunks", "select id, row_number() over (partition by serial_id order by fragment_id, sentence_index, id) as at from chunks", lambda d: d.chunks.select("id", store.number("fragment_id", "sentence_index", "id", within=("serial_id",)).alias("at")))
-on("s_top_issues", "select o_custkey, o_orderkey, r, n - 9 hidden from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderpriority, o_totalprice desc, o_orderkey) r, count(*) over (partition by o_custkey) n from orders) where r <= 9")(
-    lambda t: t("orders").select("o_custkey", "o_orderkey", store.number("o_orderpriority", col("o_totalprice").desc(), "o_orderkey", within=("o_custkey",)).alias("r"), F.count("*").over(Window.partitionBy("o_custkey")).alias("n")).where("r <= 9").select("o_custkey", "o_orderkey", "r", (col("n") - 9).alias("hidden")))
 on("s_top3", "select l_partkey, l_orderkey, l_linenumber from (select *, row_number() over (partition by l_partkey order by l_extendedprice desc, l_orderkey, l_linenumber) r from lineitem) where r <= 3")(
     lambda t: t("lineitem").withColumn("r", store.number(col("l_extendedprice").desc(), "l_orderkey", "l_linenumber", within=("l_partkey",))).where("r <= 3").select("l_partkey", "l_orderkey", "l_linenumber"))
 simple("s_recent", "chunks", "select id, fragment_id from chunks order by fragment_id desc, id limit 7", lambda d: d.chunks.select("id", "fragment_id").orderBy(col("fragment_id").desc(), "id").limit(7))
@@ -283,41 +298,158 @@ entry("g_reflection")(lambda d: graph.attention(d.chunks, d.raw_edges))
 
 def _clues(d: Digest) -> DataFrame:
     members = graph.snakes(d.chunks, _cut_edges(d), grouping.fragment_groups(d.scored))
-    return grouping.clues(members.withColumn("snake_id", col("group_id") * 100000 + col("local_snake_id")), d.chunks)
+    return grouping.clues(members.withColumn("snake_id", col("group_id") * WIDE + col("local_snake_id")), d.chunks)
 
 
 entry("g_clues")(_clues)
 
 # --- sources and model plumbing that are plain columns --------------------------------------------------------------------
-on("src_metadata", "select page_id, trim(regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '([^/.]*)(?:\\.[^/.]*)?$', 1)) stem from pages")(
-    lambda t: t("pages").select("page_id", F.trim(F.regexp_extract(F.split_part(F.split_part("url", lit("?"), lit(1)), lit("#"), lit(1)), r"([^/.]*)(?:\.[^/.]*)?$", 1)).alias("stem")))
-on("src_format", "select page_id, case when regexp_matches(u, '\\.epub$') then 'epub' when regexp_matches(u, '\\.(md|markdown)$') then 'markdown' when regexp_matches(u, '\\.(txt|html)$') then 'txt' end as fmt from (select page_id, lower(split_part(split_part(url, '?', 1), '#', 1)) u from pages)")(
-    lambda t: t("pages").withColumn("u", F.lower(F.split_part(F.split_part("url", lit("?"), lit(1)), lit("#"), lit(1)))).select("page_id", F.when(col("u").rlike(r"\.epub$"), "epub").when(col("u").rlike(r"\.(md|markdown)$"), "markdown").when(col("u").rlike(r"\.(txt|html)$"), "txt").alias("fmt")))
-on("src_section_ids", "select page_id, h || case when r > 1 then '~' || r else '' end id from (select page_id, h, row_number() over (partition by h order by page_id) r from (select page_id, regexp_extract(url, '//([^/]*)', 1) h from pages))")(
-    lambda t: t("pages").select("page_id", F.regexp_extract("url", "//([^/]*)", 1).alias("h")).withColumn("r", store.number("page_id", within=("h",))).select("page_id", F.concat("h", F.when(col("r") > 1, F.concat(lit("~"), col("r"))).otherwise("")).alias("id")))
-on("src_html_text", r"select page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?i)<br[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \n]+', ' ', 'g')) as text from pages")(
-    lambda t: t("pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>", ""), r"(?i)<br[^>]*>", "\n"), r"(?s)<[^>]*>", " "), r"[ \n]+", " ")).alias("text")))
-on("src_non_content", "select page_id from pages where not regexp_matches(lower(split_part(split_part(url, '?', 1), '#', 1)), '/(toc|nav|contents|tableofcontents|cover|titlepage)\\.x?html$')")(
-    lambda t: t("pages").where(~F.lower(F.split_part(F.split_part("url", lit("?"), lit(1)), lit("#"), lit(1))).rlike(r"/(toc|nav|contents|tableofcontents|cover|titlepage)\.x?html$")).select("page_id"))
-on("src_fragment_json", "select event_id, coalesce(json_extract_string(props, '$.k'), '') as k from events")(lambda t: t("events").select("event_id", F.coalesce(F.get_json_object("props", "$.k"), lit("")).alias("k")))
 on("l_sampling", "select l_orderkey, l_linenumber, round(case when l_linenumber >= 5 then 0.8 else 0.2 + (0.8 - 0.2) * least(1, l_linenumber / 5.0::double) end, 6)::double temperature from lineitem")(
     lambda t: t("lineitem").select("l_orderkey", "l_linenumber", F.round(0.2 + (0.8 - 0.2) * F.least(lit(1.0), col("l_linenumber") / 5.0), 6).alias("temperature")))
-on("l_cache_key", """select conv_id, turn, sha256('{"content":' || to_json(text) || ',"role":' || to_json(role) || '}') as cache_key from conversations where text is not null and not regexp_matches(text, '[\\x00-\\x1f/"]|\\\\')""")(
-    lambda t: t("conversations").where(~col("text").rlike(r'[\x00-\x1f/"]|\\')).select("conv_id", "turn", F.sha2(F.concat(lit('{"content":"'), "text", lit('","role":"'), "role", lit('"}')), 256).alias("cache_key")))
 on("l_message_key")(lambda t: t("conversations").select("conv_id", "turn", model.key_column(col("text"), col("role")).alias("cache_key")))
 on("l_context", "select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) as context, count(*)::bigint turns from conversations group by conv_id")(
     lambda t: t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat(x["role"], lit(": "), x["text"])), "\n").alias("context"), F.count("*").alias("turns")))
-simple("l_validation", "chunks", "select id, problem from (select id, case when trim(label) = '' then 'label' when retention is null and importance is null then 'unmarked' when words = 0 then 'content' end problem from chunks) where problem is not null",
-       lambda d: d.chunks.select("id", F.when(F.trim("label") == "", "label").when(col("retention").isNull() & col("importance").isNull(), "unmarked").when(col("words") == 0, "content").alias("problem")).where("problem is not null"))
 simple("l_summary", "fsent", "select serial_id, string_agg(t, chr(10) || chr(10) order by fragment_id) as summary from (select serial_id, fragment_id, trim(arg_min(text, sidx)) t from fsent group by all) where t <> '' group by serial_id",
        lambda d: d.fsent.groupBy("serial_id", "fragment_id").agg(F.trim(F.min_by("text", "sidx")).alias("t")).where("t <> ''").groupBy("serial_id").agg(F.array_join(store.ordered(col("t"), "fragment_id"), "\n\n").alias("summary")))
-simple("l_markup", "fsent chunks", """select s.serial_id, s.fragment_id, string_agg(case when c.retention in ('verbatim', 'detailed') then '<chunk retention="' || c.retention || '">' || s.text || '</chunk>' else s.text end, ' ' order by s.sidx) as markup from fsent s left join chunks c on c.serial_id = s.serial_id and c.fragment_id = s.fragment_id and c.sentence_index = s.sentence_index group by all""",
-       lambda d: d.fsent.join(d.chunks.select("serial_id", "fragment_id", "sentence_index", "retention"), ["serial_id", "fragment_id", "sentence_index"], "left").withColumn("m", F.when(col("retention").isin("verbatim", "detailed"), F.concat(lit('<chunk retention="'), "retention", lit('">'), "text", lit("</chunk>"))).otherwise(col("text"))).groupBy("serial_id", "fragment_id").agg(F.array_join(store.ordered(col("m"), "sidx"), " ").alias("markup")))
-on("snk_plain_text", "select n_regionkey, string_agg(n_name || chr(10) || chr(10) || n_nationkey, chr(10) || chr(10) order by n_nationkey) || chr(10) as text from nation group by n_regionkey")(
-    lambda t: t("nation").groupBy("n_regionkey").agg(F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(x["n_name"], lit("\n\n"), x["n_nationkey"])), "\n\n"), lit("\n")).alias("text")))
 simple("snk_listing", "fsent", "select serial_id, 'Section ' || (serial_id + 1) || ': ' || count(distinct fragment_id) || ' fragments, ' || sum(words) || ' words' as line from fsent group by serial_id",
        lambda d: d.fsent.groupBy("serial_id").agg(F.concat(lit("Section "), col("serial_id") + 1, lit(": "), F.countDistinct("fragment_id"), lit(" fragments, "), F.sum("words"), lit(" words")).alias("line")))
 
+# --- operators that are plain functions of one row: the query calls the function itself -----------------------------------
+
+
+def through(fn, kind: str):
+    """A column function that calls ``fn`` with the values of each row."""
+    return F.pandas_udf(lambda *columns: pd.Series([fn(*x) for x in zip(*columns, strict=True)], dtype=object), kind)
+
+
+_PATH = "rtrim('/', split_part(split_part(url, '?', 1), '#', 1))"
+_DPATH = "rtrim(split_part(split_part(url, '?', 1), '#', 1), '/')"
+on("src_metadata", f"select page_id, nullif(trim(regexp_extract({_DPATH}, '([^/.]*)(?:\\.[^/.]*)?$', 1)), '') stem from pages")(
+    lambda t: t("pages").select("page_id", through(lambda x: plain.metadata(x, "txt")["title"], "string")(F.expr(_PATH)).alias("stem")))
+_SUFFIX = "case page_id % 4 when 0 then '.epub' when 1 then '.MD' when 2 then '.txt' else '.markdown' end"
+on("src_format", f"select page_id, case page_id % 4 when 0 then 'epub' when 2 then 'txt' else 'markdown' end as fmt from pages")(
+    lambda t: t("pages").select("page_id", through(plain.infer_format, "string")(F.expr(f"{_PATH} || {_SUFFIX}")).alias("fmt")))
+on("src_section_ids", "select page_id, h || case when r > 1 then '~' || r else '' end id from (select page_id, h, row_number() over (partition by h order by page_id) r from (select page_id, regexp_extract(url, '//([^/]*)', 1) h from pages))")(
+    lambda t: t("pages").groupBy(F.regexp_extract("url", "//([^/]*)", 1).alias("h")).agg(F.sort_array(F.collect_list("page_id")).alias("p")).select("p", through(lambda h, p: epub.unique([h] * len(p)), "array<string>")("h", "p").alias("i")).select(F.explode(F.arrays_zip("p", "i")).alias("x")).select(col("x.p").alias("page_id"), col("x.i").alias("id")))
+_CLOSE = "|".join(sorted(epub.BLOCKS))
+on("src_html_text", rf"""select page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|head)[^>]*>.*?</(script|style|head)>', '', 'g'), '(?i)<br[^>]*>|</({_CLOSE})>', ' ', 'g'), '(?s)<[^>]*>', '', 'g'), '\s+', ' ', 'g')) as text from (select page_id, replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '&amp$', '&'), '(?s)<!--.*?-->', '', 'g'), '(?is)<head>.*?</head>', '', 'g'), '&amp;', '&'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&quot;', '"') html from pages)""")(
+    lambda t: t("pages").select("page_id", F.regexp_replace(through(lambda x: epub.page_sections(x or "", [("p", None)])["p"], "string")("html"), r"[\s\u00a0]+", " ").alias("text")))
+on("src_non_content", f"select page_id from pages where not regexp_matches(lower({_DPATH}), '/(toc|nav|contents|tableofcontents|cover|titlepage)\\.x?html$')")(
+    lambda t: t("pages").where(~through(lambda x: bool(epub.NAMES.search(x)), "boolean")(F.expr(_PATH))).select("page_id"))
+# files of even fragments as an object with a summary, the others as the older bare list
+simple("src_fragment_json", "fsent", "select serial_id, fragment_id, count(*)::bigint n, sum(words)::bigint words, case when fragment_id % 2 = 0 then 's' else '' end as summary from fsent group by all",
+       lambda d: _fragment_files(d))
+
+
+def _fragment_files(d: Digest) -> DataFrame:
+    files = d.fsent.groupBy("serial_id", "fragment_id").agg(F.sort_array(F.collect_list(F.struct("sidx", "text", col("words").alias("wordsCount")))).alias("s"))
+    file = F.when(col("fragment_id") % 2 == 0, F.to_json(F.struct(lit("s").alias("summary"), col("s").alias("sentences")))).otherwise(F.to_json("s"))
+
+    def read(x: str) -> str:
+        f = archive.fragment(x)
+        return f"{len(f['sentences'])} {sum(y['wordsCount'] for y in f['sentences'])} {f['summary']}"
+
+    said = F.split(through(read, "string")(file), " ")
+    return files.select("serial_id", "fragment_id", said.alias("x")).select("serial_id", "fragment_id", col("x")[0].cast("long").alias("n"), col("x")[1].cast("long").alias("words"), col("x")[2].alias("summary"))
+
+
+on("l_cache_key")(lambda t: t("conversations").select("conv_id", "turn", through(lambda role, text: model.cache_key([{"role": role, "content": text}], "m1", "p1", 0.5), "string")("role", "text").alias("cache_key")))
+
+
+def _validated(d: Digest) -> DataFrame:
+    """Each chunk as a batch of its own with a link to the chunk before; every fifth has lost its label, every seventh its content, every eleventh its evidence."""
+
+    def issues(i, label, content, quote, text):
+        batch = {"chunks": [{"label": label, "content": content, "evidence": {"start_anchor": quote}}], "links": [{"from": "t0", "to": int(i) - 1}]}
+        return "; ".join(model.validate_batch(batch, {int(i) - 1} if i % 2 else set(), [text]))
+
+    lost = lambda n, x: F.when(col("id") % n == 0, "").otherwise(x)
+    return d.chunks.select("id", through(issues, "string")("id", lost(5, col("label")), lost(7, col("text")), lost(11, col("text")), "text").alias("problem"))
+
+
+simple("l_validation", "chunks", """select id, array_to_string(list_filter([case when id % 5 = 0 or trim(label) = '' then 'chunk 1: label is empty' end, case when id % 7 = 0 then 'chunk 1: content is empty' end,
+    case when id % 11 = 0 then 'chunk 1: start_anchor: invalid_anchor' when regexp_replace(text, '[^\\pL\\pN]', '', 'g') = '' then 'chunk 1: start_anchor: low_confidence' end, case when id % 2 = 0 then 'link to ' || (id - 1) || ': not visible' end], lambda x: x is not null), '; ') problem from chunks""", lambda d: _validated(d))
+simple("l_markup", "fsent chunks", """select s.serial_id, s.fragment_id, string_agg(case when c.retention in ('verbatim', 'detailed') then '<chunk retention="' || c.retention || '">' || s.text || '</chunk>' else s.text end, ' ' order by s.sidx) as markup from fsent s left join chunks c on c.serial_id = s.serial_id and c.fragment_id = s.fragment_id and c.sentence_index = s.sentence_index group by all""",
+       lambda d: _marked(d))
+
+
+def _marked(d: Digest) -> DataFrame:
+    """editor.markup of every fragment, high retention only."""
+    rows = d.fsent.join(d.chunks.select("serial_id", "fragment_id", "sentence_index", "label", "retention", "importance", lit(1).alias("c")), ["serial_id", "fragment_id", "sentence_index"], "left")
+    rows = rows.groupBy("serial_id", "fragment_id").agg(F.sort_array(F.collect_list(F.struct("sidx", "text", "c", "label", "retention", "importance"))).alias("s"))
+
+    def marked(s) -> str:
+        return editor.markup([x["text"] for x in s], {k: [{"label": f"{k} {x['label']}", "retention": x["retention"], "importance": x["importance"]}] for k, x in enumerate(s) if x["c"] is not None}, high=True)
+
+    return rows.select("serial_id", "fragment_id", through(marked, "string")("s").alias("markup"))
+
+
+on("snk_plain_text", "select n_regionkey, string_agg(n_name || chr(10) || chr(10) || n_nationkey, chr(10) || chr(10) order by n_nationkey) || chr(10) as text from nation group by n_regionkey union all select -1, ''")(
+    lambda t: t("nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("s")).select("n_regionkey", through(lambda s: export.plain_text([{"title": f" {x['n_name']} ", "serialId": int(x["n_nationkey"]), "children": []} for x in s], str), "string")("s").alias("text"))
+    .unionByName(t("nation").limit(1).select(lit(-1).cast("long").alias("n_regionkey"), through(lambda _: export.plain_text([], str), "string")("n_name").alias("text"))))
+_SEVERITY = "case l_returnflag when 'R' then 'critical' when 'A' then 'major' else 'minor' end"
+_COST = "case l_returnflag when 'R' then 9 when 'A' then 3 else 1 end"
+
+
+def _reviews(t) -> DataFrame:
+    """Each order's lines as reviews with one issue."""
+    return t("lineitem").groupBy(col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.expr(_SEVERITY).alias("severity"), F.concat(lit("part "), "l_partkey").alias("said")))).alias("s"))
+
+
+def _issues(s) -> list[dict]:
+    return [{"weight": float(x["l_linenumber"]), "issues": [{"severity": x["severity"], "problem": x["said"], "suggestion": "" if x["l_linenumber"] % 2 else "check"}]} for x in s]
+
+
+on("a_review_score", f"select l_orderkey o_orderkey, (sum({_COST} * l_linenumber))::double score from lineitem group by l_orderkey")(
+    lambda t: _reviews(t).select("o_orderkey", through(lambda s: float(editor.score_reviews(_issues(s))), "double")("s").alias("score")))
+on("s_top_issues", f"""select l_orderkey o_orderkey, string_agg(case when r <= 3 then r || '. [' || upper(v) || ']' || chr(10) || '   Problem: part ' || l_partkey || chr(10) || case when l_linenumber % 2 = 0 then '   Suggestion: check' || chr(10) else '' end end, chr(10) order by r)
+    || case when count(*) > 3 then chr(10) || '(' || (count(*) - 3) || ' lesser issues not shown)' else '' end as lines from (select *, {_SEVERITY} v, row_number() over (partition by l_orderkey order by {_COST} desc, l_linenumber desc, 'part ' || l_partkey) r from lineitem) group by l_orderkey""")(
+    lambda t: _reviews(t).select("o_orderkey", through(lambda s: editor.issue_lines(_issues(s), 3), "string")("s").alias("lines")))
+on("a_best_version", "select l_orderkey, min(l_linenumber)::bigint linenumber from lineitem l join (select l_orderkey, min(l_extendedprice) p from lineitem group by 1) using (l_orderkey) where l_extendedprice = p group by 1")(
+    lambda t: t("lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_extendedprice"))).alias("s")).select("l_orderkey", through(lambda s: int(editor.best_version([{"iteration": x["l_linenumber"], "score": x["l_extendedprice"]} for x in s])["iteration"]), "long")("s").alias("linenumber")))
+
+# --- the store of snakes: runs of four chunks, so that its tables have SQL ---------------------------------------------------
+_SNK = f"(select serial_id * {WIDE} + group_id * 1000 + sn id, serial_id, group_id, sn, count(*)::bigint size, sum(words)::bigint words, sum(weight) weight from {_snake_sql()} group by all)"
+_MEM = f"(select serial_id * {WIDE} + group_id * 1000 + sn snake_id, id chunk_id, row_number() over (partition by serial_id, group_id, sn order by fragment_id, sentence_index, id) - 1 as position from {_snake_sql()})"
+_SED = f"(select least(a.snake_id, b.snake_id) from_id, greatest(a.snake_id, b.snake_id) to_id, round(sum(e.weight), 6) weight from edges e join {_MEM} a on a.chunk_id = e.from_id join {_MEM} b on b.chunk_id = e.to_id where a.snake_id <> b.snake_id group by all)"
+_sid = lambda: col("serial_id") * WIDE + col("group_id") * 1000 + col("sn")
+
+
+def _snake_rows(d: Digest) -> DataFrame:
+    return _runs(d).groupBy(_sid().alias("id"), "serial_id", "group_id").agg(F.count("*").alias("size"), F.sum("words").alias("words"), F.sum("weight").alias("weight"))
+
+
+def _snake_members(d: Digest) -> DataFrame:
+    return _runs(d).select(_sid().alias("snake_id"), col("id").alias("chunk_id"), (col("p") - 4 * col("sn")).alias("position"))
+
+
+def _snake_edges(d: Digest) -> DataFrame:
+    m = _snake_members(d)
+    e = d.edges.select("from_id", "to_id", "weight").join(m.select(col("chunk_id").alias("from_id"), col("snake_id").alias("x")), "from_id").join(m.select(col("chunk_id").alias("to_id"), col("snake_id").alias("y")), "to_id").where("x <> y")
+    return e.groupBy(F.least("x", "y").alias("from_id"), F.greatest("x", "y").alias("to_id")).agg(F.round(F.sum("weight"), 6).alias("weight"))
+
+
+on("st_serials_create", "select c_custkey id, false as fresh from customer union all select (select max(c_custkey) from customer) + row_number() over (order by s_suppkey), true from supplier")(
+    lambda t: store.allocate(t("customer").select(col("c_custkey").cast("long").alias("id"), lit(False).alias("fresh")), t("supplier").select("s_suppkey", lit(True).alias("fresh")), "s_suppkey"))
+on("st_serials_create_with_id", "select c_custkey id from customer union all select (select max(c_custkey) from customer) + s_suppkey + 1 from supplier")(
+    lambda t: store.create(t("customer").select(col("c_custkey").cast("long").alias("id")), t("supplier").crossJoin(F.broadcast(t("customer").agg(F.max("c_custkey").alias("m")))).select((col("m") + col("s_suppkey") + 1).cast("long").alias("id")), "id"))
+simple("st_snakes_create", "chunks infos", f"select id, serial_id, group_id, size, case when id % 2 = 0 then words else 0 end words, case when id % 2 = 0 then weight else 0 end weight from {_SNK}",
+       lambda d: store.append(_snake_rows(d).where("id % 2 = 0"), _snake_rows(d).where("id % 2 <> 0").select("id", "serial_id", "group_id", "size"), words=0, weight=0.0))
+simple("st_snakes_get", "chunks infos", f"select id, size, words from {_SNK} where id in (0, {7 * WIDE + 1}, {11 * WIDE + 2})", lambda d: _snake_rows(d).where(col("id").isin(0, 7 * WIDE + 1, 11 * WIDE + 2)).select("id", "size", "words"))
+simple("st_snakes_by_group", "chunks infos", f"select id from {_SNK} where serial_id = 7 and group_id = 0", lambda d: _snake_rows(d).where("serial_id = 7 and group_id = 0").select("id"))
+simple("st_snakes_by_serial", "chunks infos", f"select group_id, id, size from {_SNK} where serial_id = 11", lambda d: _snake_rows(d).where("serial_id = 11").select("group_id", "id", "size").orderBy("group_id", "id"))
+simple("st_snake_chunks_save", "chunks infos", f"select snake_id, chunk_id, position + case when chunk_id % 3 = 0 then 10 else 0 end as position from {_MEM}",
+       lambda d: store.upsert(_snake_members(d), _snake_members(d).where("chunk_id % 3 = 0").select("snake_id", "chunk_id", (col("position") + 10).alias("position"), lit(1).alias("seq")), "snake_id", "chunk_id"))
+simple("st_snake_chunks_list", "chunks infos", f"select snake_id, string_agg(chunk_id::varchar, ',' order by position) chunk_ids from {_MEM} group by snake_id",
+       lambda d: _snake_members(d).groupBy("snake_id").agg(F.array_join(store.ordered(col("chunk_id").cast("string"), "position"), ",").alias("chunk_ids")))
+simple("st_snake_edges_save", "edges chunks infos", f"select from_id, to_id, case when to_id % 2 = 0 then 1.5 else weight end weight from {_SED}",
+       lambda d: (lambda e: store.upsert(e, e.where("to_id % 2 = 0").select("from_id", "to_id", lit(1.5).alias("weight"), lit(1).alias("seq")), "from_id", "to_id"))(_snake_edges(d)))
+simple("st_snake_edges_in", "edges chunks infos", f"select from_id, to_id, weight from {_SED} where to_id in ({7 * WIDE + 1}, {11 * WIDE + 2})", lambda d: _snake_edges(d).where(col("to_id").isin(7 * WIDE + 1, 11 * WIDE + 2)))
+simple("st_snake_edges_out", "edges chunks infos", f"select from_id, to_id, weight from {_SED} where from_id in ({7 * WIDE}, {11 * WIDE + 1})", lambda d: _snake_edges(d).where(col("from_id").isin(7 * WIDE, 11 * WIDE + 1)))
+simple("st_snake_edges_within", "edges chunks infos", f"select from_id, to_id, weight from {_SED} where from_id % 3 <> 0 and to_id % 3 <> 0", lambda d: store.within(_snake_edges(d), _snake_rows(d).where("id % 3 <> 0"), "from_id", "to_id").select("from_id", "to_id", "weight"))
+simple("st_snake_edges_by_serial", "edges chunks infos", f"select f.serial_id, e.from_id, e.to_id, e.weight from {_SED} e join {_SNK} f on f.id = e.from_id join {_SNK} t on t.id = e.to_id and t.serial_id = f.serial_id",
+       lambda d: (lambda r: _snake_edges(d).join(r.select(col("id").alias("from_id"), "serial_id"), "from_id").join(r.select(col("id").alias("to_id"), col("serial_id").alias("s2")), "to_id").where("serial_id = s2").select("serial_id", "from_id", "to_id", "weight"))(_snake_rows(d)))
+
 # --- streams and loops ------------------------------------------------------------------------------------------------
 SQL["str_fragments"] = sql("select serial_id, fragment_id, sentence_index, text, words from fsent", "fsent")
 QUERIES["str_fragments"] = lambda spark, sf_dir: pack_available(spark, f"{sf_dir}/documents.parquet*")

@@ -30,22 +30,22 @@ def sentences(text) -> Column:
     return F.transform(found, lambda x: F.struct(x.alias("text"), words(x).alias("words")))
 
 
+def fill(sizes, limit: int, close_at_limit: bool = False) -> list[tuple[int, int]]:
+    """(bin, place in it) of each size, filled in order: a bin that isn't empty (closing at the limit: that holds anything) closes before a size that would exceed ``limit`` (and at the limit if so asked)."""
+    out, now, held, at = [], 0, 0, 0
+    for n in sizes:
+        if held + n > limit and (at > 0 if close_at_limit else held > 0) or close_at_limit and at > 0 and held >= limit:
+            now, held, at = now + 1, 0, 0
+        out.append((now, at))
+        held += n
+        at += 1
+    return out
+
+
 def packed(sizes: Column, limit: int, close_at_limit: bool = False) -> Column:
-    """array<struct<bin, at>>: bin of each size and its place there, filled in order: a bin that isn't empty closes before a size that would exceed ``limit`` (and at the limit if so asked)."""
-    out = F.array().cast("array<struct<bin:bigint,at:bigint>>")
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("bin"), zero.alias("held"), zero.alias("at"), out.alias("out"))
-
-    def step(acc, size):
-        size = size.cast("long")
-        full = (acc["held"] + size > limit) & ((acc["at"] > 0) if close_at_limit else (acc["held"] > 0))
-        if close_at_limit:
-            full = full | (acc["at"] > 0) & (acc["held"] >= limit)
-        number = F.when(full, acc["bin"] + 1).otherwise(acc["bin"])
-        at = F.when(full, zero).otherwise(acc["at"])
-        return F.struct(number.alias("bin"), F.when(full, size).otherwise(acc["held"] + size).alias("held"), (at + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(number.alias("bin"), at.alias("at")))).alias("out"))
-
-    return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+    """array<struct<bin, at>> of ``fill``. A loop over one array in an Arrow worker: folding with aggregate() would copy what it has made for every size. Not for use within a lambda."""
+    both = F.pandas_udf(lambda s: s.map(lambda x: [b << 32 | a for b, a in fill(x, limit, close_at_limit)]), "array<bigint>")(sizes)
+    return F.transform(both, lambda x: F.struct(F.shiftright(x, 32).alias("bin"), x.bitwiseAND(F.lit(2**32 - 1)).alias("at")))
 
 
 def collapse(text) -> Column:

@@ -40,7 +40,7 @@ def issue_lines(reviews: list[dict], most: int | None = SHOWN_ISSUES) -> str:
             lines.append(f"   Suggestion: {issue['suggestion']}")
         lines.append("")
     hidden = len(issues) - len(issues[:most])
-    return "\n".join(lines + ([f"... and {hidden} more issues hidden (lower priority)"] if hidden else []))
+    return "\n".join(lines + ([f"({hidden} lesser issues not shown)"] if hidden else []))
 
 
 def strip_tags(text: str) -> str:

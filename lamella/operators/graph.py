@@ -1,8 +1,8 @@
 """Graph operators over a group's chunks: components, diffusion fingerprints, cluster merging, spreading activation.
 
 Functions in plain Python work on one group (the chunks of one serial and
-group, at most a few thousand words); the DataFrame functions deal the groups
-to tasks with applyInPandas. Components over whole tables, of any size, are a
+group, at most a few thousand words); the DataFrame functions deal the groups to
+workers as rows of arrays. Components over whole tables, of any size, are a
 join loop.
 """
 
@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,45 +92,52 @@ class Component:
             out[a, b] = out[b, a] = max(own[a] * v / total[a] + own[b] * v / total[b], LEAST_EDGE)
         return out
 
-    def fingerprints(self) -> dict[int, np.ndarray]:
-        """From each node its concentration flows outward by layers, split by edge weight among nodes not reached yet; each vector sums to one."""
+    def fingerprints(self) -> np.ndarray:
+        """From each node its concentration flows outward by layers, split by edge weight among nodes not reached yet; each row (in the order of ids) sums to one. All starts flow at once. A component lies within a group of bounded size, so the square is bounded too."""
+        n = len(self.ids)
         place = {i: k for k, i in enumerate(self.ids)}
+        ahead = [np.array([place[j] for j in self.near[i]], np.int64) for i in self.ids]
+        weight = [np.array([self.weight[i, j] for j in self.near[i]]) for i in self.ids]
+        first = np.cumsum([0, *map(len, ahead)])
+        to, w = (np.concatenate(x) if n else np.zeros(0) for x in (ahead, weight))
+        held, reached = np.eye(n), np.eye(n, dtype=bool)
+        start, at, amount = np.arange(n), np.arange(n), np.ones(n)
+        while len(at):
+            count = first[at + 1] - first[at]
+            of = np.repeat(np.arange(len(at)), count)
+            edge = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[at], count)
+            new = ~reached[start[of], to[edge]]
+            of, edge = of[new], edge[new]
+            share = np.bincount(of, w[edge], len(at))
+            cell, back = np.unique(start[of] * n + to[edge], return_inverse=True)
+            amount = np.bincount(back, amount[of] * (w[edge] / share[of]) * DECAY, len(cell))
+            start, at = np.divmod(cell, max(n, 1))
+            held[start, at] = amount
+            reached[start, at] = True
+        if not reached.all():
+            raise ValueError("the component isn't connected")
+        return held / held.sum(axis=1, keepdims=True)
+
+    def link_values(self) -> dict[tuple[int, int], float]:
+        """What each link is worth: likeness of the ends' fingerprints times strength and shared attributes."""
+        prints = self.fingerprints()
+        place = {i: k for k, i in enumerate(self.ids)}
+        ends = list(self.strength)
+        a, b = (np.array([place[x[k]] for x in ends], np.int64) for k in (0, 1))
         out = {}
-        for start in self.ids:
-            held = np.zeros(len(self.ids))
-            held[place[start]] = 1.0
-            reached, layer = {start}, [start]
-            while layer:
-                arriving: dict[int, float] = defaultdict(float)
-                for x in layer:
-                    ahead = [y for y in self.near[x] if y not in reached]
-                    share = sum(self.weight[x, y] for y in ahead)
-                    for y in ahead:
-                        arriving[y] += held[place[x]] * (self.weight[x, y] / share) * DECAY
-                layer = sorted(arriving)
-                for y in layer:
-                    held[place[y]] = arriving[y]
-                reached.update(layer)
-            if len(reached) < len(self.ids):
-                raise ValueError("the component isn't connected")
-            out[start] = held / held.sum()
+        apart = np.concatenate([np.sqrt(((prints[a[k : k + 256]] - prints[b[k : k + 256]]) ** 2).sum(axis=1)) for k in range(0, len(ends), 256)]) if ends else np.zeros(0)
+        for (i, j), d in zip(ends, apart.tolist(), strict=True):
+            x, y = self.chunks[i], self.chunks[j]
+            shared = BONUS * (x["retention"] is not None and y["retention"] is not None) + BONUS * (x["importance"] is not None and y["importance"] is not None)
+            for p, q in ((i, j), (j, i)):
+                out[p, q] = (1 - d / 2) * (IMPORTANCE.get(self.strength_of(p, q), 1) + shared)
         return out
 
-    def value(self, left: list[int], right: list[int], prints: dict[int, np.ndarray]) -> float:
-        """The least value of a link between two clusters: likeness of the fingerprints times strength and shared attributes."""
-        least = float("inf")
-        for a in left:
-            for b in self.near[a]:
-                if b not in right:
-                    continue
-                x, y = self.chunks[a], self.chunks[b]
-                gain = IMPORTANCE.get(self.strength_of(a, b), 1)
-                gain += BONUS * (x["retention"] is not None and y["retention"] is not None)
-                gain += BONUS * (x["importance"] is not None and y["importance"] is not None)
-                least = min(least, (1 - float(np.sqrt(((prints[a] - prints[b]) ** 2).sum())) / 2) * gain)
-        return least if least < float("inf") else float("-inf")
-
-    def merged(self, clusters: dict[int, list[int]], prints: dict, limit: int, grow_only: bool) -> dict[int, list[int]]:
+    def value(self, left: list[int], right: set[int], links: dict[tuple[int, int], float]) -> float:
+        """The least value of a link between two clusters."""
+        return min((links[a, b] for a in left for b in self.near[a] if b in right), default=float("-inf"))
+
+    def merged(self, clusters: dict[int, list[int]], links: dict, limit: int, grow_only: bool) -> dict[int, list[int]]:
         """One phase of G6. A pair is valued when it is first seen and never again; a pair that is turned down isn't tried again in the phase."""
         clusters = {k: list(v) for k, v in clusters.items()}
         of = {i: k for k, v in clusters.items() for i in v}
@@ -140,7 +149,7 @@ class Component:
             pair = min(a, b), max(a, b)
             if a != b and pair not in seen:
                 seen.add(pair)
-                heapq.heappush(heap, (-self.value(clusters[a], set(clusters[b]), prints), *pair))
+                heapq.heappush(heap, (-self.value(clusters[a], set(clusters[b]), links), *pair))
 
         for k in sorted(clusters):
             for other in sorted({of[j] for i in clusters[k] for j in self.near[i]}):
@@ -166,9 +175,9 @@ class Component:
         by_place = lambda v: sorted(v, key=lambda i: (*self.chunks[i]["at"], i))
         if sum(c["words"] for c in self.chunks.values()) <= limit:
             return [by_place(self.ids)]
-        prints = self.fingerprints()
-        clusters = self.merged({i: [i] for i in self.ids}, prints, limit, True)
-        return [by_place(v) for v in self.merged(clusters, prints, limit, False).values()]
+        links = self.link_values()
+        clusters = self.merged({i: [i] for i in self.ids}, links, limit, True)
+        return [by_place(v) for v in self.merged(clusters, links, limit, False).values()]
 
 
 SNAKES = "serial_id long, group_id long, local_snake_id int, position int, chunk_id long"
@@ -179,20 +188,30 @@ def snakes(chunks: DataFrame, edges: DataFrame, groups: DataFrame, limit: int =
     c = chunks.join(groups, ["serial_id", "fragment_id"]).select("id", "serial_id", "group_id", "fragment_id", "sentence_index", "words", "retention", "importance")
     e = edges.select("from_id", "to_id", "strength").join(c.select(F.col("id").alias("from_id"), F.col("group_id").alias("fg")), "from_id").join(c.select(F.col("id").alias("to_id"), F.col("group_id").alias("tg")), "to_id").where("fg = tg")
     out = e.groupBy(F.col("from_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("to_id", "strength"))).alias("links"))
-    whole = c.join(out, "id", "left")
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        keyed = {int(r.id): {"words": int(r.words), "retention": r.retention, "importance": r.importance, "at": (r.serial_id, r.fragment_id, r.sentence_index)} for r in group.itertuples()}
-        links = [(int(r.id), int(x["to_id"]), x["strength"]) for r in group.itertuples() if r.links is not None for x in r.links]
-        rows, local = [], 0
-        for ids in split_components(list(keyed), [(a, b) for a, b, _ in links]):
-            inside = set(ids)
-            for members in Component({i: keyed[i] for i in ids}, [x for x in links if x[0] in inside]).snakes(limit):
-                rows += [(int(group.serial_id.iloc[0]), int(group.group_id.iloc[0]), local, k, i) for k, i in enumerate(members)]
+    whole = c.join(out, "id", "left").groupBy("serial_id", "group_id").agg(F.sort_array(F.collect_list(F.struct("id", "fragment_id", "sentence_index", "words", "retention", "importance", "links"))).alias("c"))
+
+    def one(serial: int, group: int, rows: list[dict]) -> list[tuple]:
+        keyed = {r["id"]: {"words": r["words"], "retention": r["retention"], "importance": r["importance"], "at": (serial, r["fragment_id"], r["sentence_index"])} for r in rows}
+        links = [(r["id"], x["to_id"], x["strength"]) for r in rows for x in r["links"] or ()]
+        made, local = [], 0
+        by_component = split_components(list(keyed), [(a, b) for a, b, _ in links])
+        of = {i: k for k, ids in enumerate(by_component) for i in ids}
+        inside: list[list[tuple]] = [[] for _ in by_component]
+        for x in links:
+            inside[of[x[0]]].append(x)
+        for ids, own in zip(by_component, inside, strict=True):
+            for members in Component({i: keyed[i] for i in ids}, own).snakes(limit):
+                made += [(serial, group, local, k, i) for k, i in enumerate(members)]
                 local += 1
-        return pd.DataFrame(rows, columns=["serial_id", "group_id", "local_snake_id", "position", "chunk_id"])
+        return made
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("serial_id", pa.int64()), ("group_id", pa.int64()), ("local_snake_id", pa.int32()), ("position", pa.int32()), ("chunk_id", pa.int64())])
+        for batch in batches:
+            made = [x for r in batch.to_pylist() for x in one(r["serial_id"], r["group_id"], r["c"])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in made], f.type) for k, f in enumerate(kinds)], schema=kinds)
 
-    return whole.groupBy("serial_id", "group_id").applyInPandas(one, SNAKES)
+    return whole.mapInArrow(run, SNAKES)
 
 
 def reflect(chunks: list[tuple[int, int]], successors: dict[int, list[int]], latest: list[int], k: int, decay: float) -> list[int]:

@@ -58,14 +58,15 @@ def split(infos: list[tuple[int, int, int, int]], limit: int) -> list[list[int]]
 
 
 def fragment_groups(scored: DataFrame, limit: int = GROUP_WORDS) -> DataFrame:
-    """serial_id, group_id, fragment_id by the incision-guided split; one serial is one task's work."""
-
-    def one(serial: pd.DataFrame) -> pd.DataFrame:
-        s = serial.sort_values("fragment_id")
-        found = split(list(zip(s.fragment_id.tolist(), s.words_count.tolist(), s.start_incision.tolist(), s.end_incision.tolist(), strict=True)), limit)
-        return pd.DataFrame([(int(s.serial_id.iloc[0]), g, f) for g, ids in enumerate(found) for f in ids], columns=["serial_id", "group_id", "fragment_id"])
-
-    return scored.groupBy("serial_id").applyInPandas(one, "serial_id long, group_id long, fragment_id long")
+    """serial_id, group_id, fragment_id by the incision-guided split. A serial that fits one group stays with Spark; of the others each is one array for a worker."""
+    info = F.struct("fragment_id", F.col("words_count").cast("long"), F.col("start_incision").cast("long"), F.col("end_incision").cast("long"))
+    listed = scored.groupBy("serial_id").agg(F.sort_array(F.collect_list(info)).alias("f"), F.sum("words_count").alias("total"))
+    zero = F.lit(0).cast("long")
+    whole = listed.where((F.col("total") <= limit) & F.lit(limit > 0)).select("serial_id", zero.alias("group_id"), F.explode("f.fragment_id").alias("fragment_id"))
+    of = F.pandas_udf(lambda f: f.map(lambda x: [g for g, ids in enumerate(split([tuple(y.values()) for y in x], limit)) for _ in ids]), "array<bigint>")
+    # groups keep the order of the fragments, so the n-th number belongs to the n-th fragment
+    rest = listed.where((F.col("total") > limit) | F.lit(limit <= 0)).select("serial_id", F.explode(F.arrays_zip(of("f").alias("g"), F.col("f.fragment_id").alias("i"))).alias("x"))
+    return whole.select("serial_id", "group_id", F.col("fragment_id").cast("long").alias("fragment_id")).unionByName(rest.select("serial_id", F.col("x.g").alias("group_id"), F.col("x.i").cast("long").alias("fragment_id")))
 
 
 def merge_clues(clues: list[dict], most: int = MOST_CLUES) -> list[dict]:

@@ -18,6 +18,27 @@ def insert_absent(base: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     return base.unionByName(new.join(base.select(*keys), list(keys), "left_anti"))
 
 
+def append(base: DataFrame, rows: DataFrame, **defaults) -> DataFrame:
+    """``base`` and ``rows``; columns that ``rows`` lacks, or holds as null, take the defaults."""
+    filled = [F.coalesce(F.col(c), F.lit(defaults[c])) if c in rows.columns and c in defaults else F.col(c) if c in rows.columns else F.lit(defaults.get(c)) for c in base.columns]
+    return base.unionByName(rows.select(*[x.cast(base.schema[c].dataType).alias(c) for c, x in zip(base.columns, filled, strict=True)]))
+
+
+def allocate(base: DataFrame, rows: DataFrame, *order: str) -> DataFrame:
+    """``base`` and ``rows`` with new ids (column id) after the largest, in the given order."""
+    top = base.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    new = rows.withColumn("n", number(*order)).crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("n"))
+    return base.unionByName(new.select(*base.columns))
+
+
+def create(base: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
+    """``base`` and ``rows``; an error if a key is there already."""
+    clash = rows.join(base.select(*keys), list(keys), "left_semi").select(*keys).first()
+    if clash:
+        raise ValueError(f"already exists: {', '.join(map(str, clash))}")
+    return base.unionByName(rows.select(*base.columns))
+
+
 def within(edges: DataFrame, ids: DataFrame, left: str, right: str) -> DataFrame:
     """The edges with both ends among ``ids`` (column id)."""
     return edges.join(ids.select(F.col("id").alias(left)), left, "left_semi").join(ids.select(F.col("id").alias(right)), right, "left_semi")

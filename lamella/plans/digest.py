@@ -18,12 +18,15 @@ RETENTION = {"verbatim": 27, "detailed": 9, "focused": 3, "relevant": 1}
 IMPORTANCE = {"critical": 9, "important": 3, "helpful": 1}
 LEAST_EDGE = 0.1
 GROUP_WORDS, SNAKE_WORDS = 3840, 280
+#: A chunk's id is its serial's times WIDE plus its number. A text has at most 2**31 bytes, so its numbers are smaller; a product beyond 64 bits is an error, not a wrong id.
+WIDE = 1_000_000_000
 
 
 def fragments(docs: DataFrame) -> DataFrame:
     """serial_id, sidx, fragment_id, sentence_index, text, words: sentences packed into fragments of at most FRAGMENT_WORDS. One row is one task's work; nothing is shuffled."""
-    made = T.let(T.sentences(F.col("text")), lambda s: F.arrays_zip(s.alias("s"), T.packed(F.transform(s, lambda x: x["words"]), T.FRAGMENT_WORDS).alias("b")))
-    rows = docs.select(F.col("doc_id").alias("serial_id"), F.posexplode(made).alias("sidx", "x"))
+    made = docs.select(F.col("doc_id").alias("serial_id"), T.sentences(F.col("text")).alias("s"))
+    made = made.select("serial_id", F.arrays_zip("s", T.packed(F.transform("s", lambda x: x["words"]), T.FRAGMENT_WORDS).alias("b")).alias("x"))
+    rows = made.select("serial_id", F.posexplode("x").alias("sidx", "x"))
     return rows.select("serial_id", F.col("sidx").cast("long").alias("sidx"), F.col("x.b.bin").alias("fragment_id"), F.col("x.b.at").alias("sentence_index"), F.col("x.s.text").alias("text"), F.col("x.s.words").alias("words"))
 
 
@@ -31,7 +34,7 @@ def chunk_rule(sents: DataFrame) -> DataFrame:
     k = F.expr("sidx div 3")
     ret = F.element_at(F.array(*map(F.lit, RETENTION), F.lit(None)), ((F.col("words") + F.col("sidx")) % 5 + 1).cast("int"))
     imp = F.element_at(F.array(*map(F.lit, IMPORTANCE), F.lit(None)), ((F.col("words") * 7 + F.col("sidx")) % 4 + 1).cast("int"))
-    return sents.where("sidx % 3 = 0").select((F.col("serial_id") * 100000 + k + 1).alias("id"), "serial_id", "fragment_id", "sentence_index", k.alias("k"), "words", ret.alias("retention"), imp.alias("importance"), F.substring("text", 1, 24).alias("label"), "text")
+    return sents.where("sidx % 3 = 0").select((F.col("serial_id") * WIDE + k + 1).alias("id"), "serial_id", "fragment_id", "sentence_index", k.alias("k"), "words", ret.alias("retention"), imp.alias("importance"), F.substring("text", 1, 24).alias("label"), "text")
 
 
 def edge_rule(chunks: DataFrame) -> DataFrame:
@@ -145,7 +148,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "sent": ((), rf"select doc_id serial_id, row_number() over (partition by doc_id order by pos) - 1 sidx, t as text, len(regexp_extract_all(t, '{T.WORD}'))::bigint words from (select doc_id, trim(unnest(x)) t, unnest(range(1, len(x) + 1)) pos from (select doc_id, regexp_extract_all(coalesce(text, ''), '{T.SENTENCE}') x from documents)) where t <> ''"),
     "pack": (("sent",), f"select serial_id, sidx, 0::bigint frag, words cur from sent where sidx = 0 union all select s.serial_id, s.sidx, case when p.cur > 0 and p.cur + s.words > {T.FRAGMENT_WORDS} then p.frag + 1 else p.frag end, case when p.cur > 0 and p.cur + s.words > {T.FRAGMENT_WORDS} then s.words else p.cur + s.words end from pack p join sent s on s.serial_id = p.serial_id and s.sidx = p.sidx + 1"),
     "fsent": (("sent", "pack"), "select serial_id, sidx, frag fragment_id, sidx - min(sidx) over (partition by serial_id, frag) sentence_index, text, words from sent join pack using (serial_id, sidx)"),
-    "chunks": (("fsent",), f"select *, ({_rank('retention', RETENTION)} + {_rank('importance', IMPORTANCE)})::double weight from (select serial_id * 100000 + sidx // 3 + 1 id, serial_id, fragment_id, sentence_index, sidx // 3 k, words, {_pick('(words + sidx)', 5, RETENTION)} retention, {_pick('(words * 7 + sidx)', 4, IMPORTANCE)} importance, substr(text, 1, 24) as label, text from fsent where sidx % 3 = 0)"),
+    "chunks": (("fsent",), f"select *, ({_rank('retention', RETENTION)} + {_rank('importance', IMPORTANCE)})::double weight from (select serial_id * {WIDE} + sidx // 3 + 1 id, serial_id, fragment_id, sentence_index, sidx // 3 k, words, {_pick('(words + sidx)', 5, RETENTION)} retention, {_pick('(words * 7 + sidx)', 4, IMPORTANCE)} importance, substr(text, 1, 24) as label, text from fsent where sidx % 3 = 0)"),
     "raw_edges": (("chunks",), f"select a.serial_id, a.id from_id, b.id to_id, {_pick('(a.k + a.words)', 4, IMPORTANCE)} strength from chunks a join chunks b on a.serial_id = b.serial_id and (b.k = a.k - 1 or b.k = a.k - 2 - a.words % 7)"),
     "es": (("raw_edges",), f"select *, ({_rank('strength', IMPORTANCE, 1)})::double s from raw_edges"),
     "rate": (("es", "chunks"), "select id, weight / total rate from (select id, sum(s) total from (select from_id id, s from es union all select to_id, s from es) group by id) join chunks using (id)"),

@@ -48,13 +48,14 @@ def plan(sections: list[dict], book_title: str | None = None) -> tuple[list[dict
 def plain_text(items: list[dict], summary: Callable[[int], str | None]) -> str:
     parts = []
     for _, _, x in preorder(items):
-        parts.append(x["title"])
+        parts.append(x["title"].strip())
         if "serialId" in x:
             text = summary(x["serialId"])
             if text is None:
                 raise ValueError(f"no summary of serial {x['serialId']}")
             parts.append(text.strip())
-    return "\n\n".join(p for p in parts if p) + "\n"
+    whole = "\n\n".join(p for p in parts if p)
+    return whole and whole + "\n"
 
 
 def paragraphs(text: str) -> list[str]:

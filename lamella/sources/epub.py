@@ -49,6 +49,16 @@ def attr(node: ET.Element, name: str) -> str | None:
     return next((v for k, v in node.attrib.items() if local(k) == name), None)
 
 
+def unique(names: list[str], seen: dict[str, int] | None = None) -> list[str]:
+    """The names with ~2, ~3 and so on behind those that were seen before."""
+    seen = {} if seen is None else seen
+    out = []
+    for x in names:
+        seen[x] = seen.get(x, 0) + 1
+        out.append(x if seen[x] == 1 else f"{x}~{seen[x]}")
+    return out
+
+
 class Book:
     """An opened book."""
 
@@ -148,8 +158,7 @@ class Book:
             out = []
             for i, n in enumerate(nodes):
                 base = n["target"][0] + (f"#{n['target'][1]}" if n["target"][1] else "") if n["target"] else f"toc:{prefix}{i}"
-                seen[base] = seen.get(base, 0) + 1
-                out.append({"id": base if seen[base] == 1 else f"{base}~{seen[base]}", "title": n["title"] or None, "target": n["target"], "children": finish(n["children"], f"{prefix}{i}.")})
+                out.append({"id": unique([base], seen)[0], "title": n["title"] or None, "target": n["target"], "children": finish(n["children"], f"{prefix}{i}.")})
             return out
 
         return finish(tree, "")

@@ -68,3 +68,42 @@ def test_stream_equals_batch(spark, tmp_path):
     want, _ = fold(1, [text], ("", 0, 0, 0), True)
     got = sorted(tuple(r) for r in spark.sql("select * from packed").collect())
     assert got == sorted(want)
+
+
+def test_cache_keys_call_the_function(spark):
+    from lamella.operators import model
+
+    rows = {(r.conv_id, r.turn): (r.role, r.text) for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
+    got = {(r.conv_id, r.turn): r.cache_key for r in catalog.QUERIES["l_cache_key"](spark, SF).collect()}
+    assert got == {k: model.cache_key([{"role": role, "content": text}], "m1", "p1", 0.5) for k, (role, text) in rows.items()}
+
+
+def test_fragment_groups_and_snakes_by_plain_loops(spark):
+    """Every serial and every group by the functions of one, without Spark."""
+    from lamella.operators import graph, grouping
+    from lamella.plans.digest import Digest
+
+    d = Digest(spark, SF)
+    by = {}
+    for r in d.scored.collect():
+        by.setdefault(r.serial_id, []).append((r.fragment_id, r.words_count, r.start_incision, r.end_incision))
+    for limit in (600, 3840):
+        want = sorted((s, g, f) for s, infos in by.items() for g, ids in enumerate(grouping.split(sorted(infos), limit)) for f in ids)
+        assert sorted(map(tuple, grouping.fragment_groups(d.scored, limit).collect())) == want
+    group = {(s, f): g for s, g, f in want}
+    chunks, links = {}, {}
+    for c in d.chunks.collect():
+        if (c.serial_id, c.fragment_id) in group:
+            chunks.setdefault((c.serial_id, group[c.serial_id, c.fragment_id]), {})[c.id] = {"words": c.words, "retention": c.retention, "importance": c.importance, "at": (c.serial_id, c.fragment_id, c.sentence_index)}
+    home = {i: k for k, cs in chunks.items() for i in cs}
+    for e in catalog._cut_edges(d).collect():
+        if home.get(e.from_id) == home.get(e.to_id) is not None:
+            links.setdefault(home[e.from_id], []).append((e.from_id, e.to_id, e.strength))
+    members = {}
+    for r in catalog.QUERIES["g_snakes"](spark, SF).collect():
+        members.setdefault((r.serial_id, r.group_id), {}).setdefault(r.local_snake_id, []).append((r.position, r.chunk_id))
+    assert set(members) == set(chunks)
+    for k in chunks:
+        own = sorted(links.get(k, []))
+        want = sorted(s for ids in graph.split_components(sorted(chunks[k]), [(a, b) for a, b, _ in own]) for s in graph.Component({i: chunks[k][i] for i in ids}, [x for x in own if x[0] in set(ids)]).snakes())
+        assert sorted([i for _, i in sorted(s)] for s in members[k].values()) == want

@@ -4,9 +4,10 @@ import itertools
 
 import pytest
 
+from lamella.functions import template
 from lamella.functions.language import detect
 from lamella.functions.similarity import normalize, score
-from lamella.operators import editor, evidence, graph, grouping, guard, model
+from lamella.operators import editor, evidence, graph, grouping, guard, model, store, translation
 from lamella.plans.digest import IMPORTANCE, RETENTION
 from lamella.sinks import export
 from lamella import api
@@ -67,8 +68,102 @@ def test_snakes_keep_limits():
 def test_fingerprints_sum_to_one():
     chunks = {i: {"words": 200, "retention": None, "importance": None, "at": (0, i)} for i in (1, 2, 3)}
     prints = graph.Component(chunks, [(2, 1, None), (3, 2, None)]).fingerprints()
-    assert all(abs(p.sum() - 1) < 1e-12 for p in prints.values())
-    assert prints[1].tolist() == pytest.approx([1 / 2.3125, 0.75 / 2.3125, 0.5625 / 2.3125])
+    assert all(abs(p.sum() - 1) < 1e-12 for p in prints)
+    assert prints[0].tolist() == pytest.approx([1 / 2.3125, 0.75 / 2.3125, 0.5625 / 2.3125])
+
+
+def slow_fingerprint(component, start):
+    """G4 from one node by dictionaries."""
+    held, reached, layer = {start: 1.0}, {start}, [start]
+    while layer:
+        arriving = {}
+        for x in layer:
+            ahead = [y for y in component.near[x] if y not in reached]
+            share = sum(component.weight[x, y] for y in ahead)
+            for y in ahead:
+                arriving[y] = arriving.get(y, 0.0) + held[x] * component.weight[x, y] / share * graph.DECAY
+        held |= arriving
+        reached |= set(arriving)
+        layer = list(arriving)
+    total = sum(held.values())
+    return [held.get(i, 0.0) / total for i in component.ids]
+
+
+def test_fingerprints_and_link_values_against_loops():
+    import random
+
+    r = random.Random(2)
+    for size in (1, 2, 9, 40):
+        chunks = {i: {"words": 5, "retention": r.choice(["verbatim", "focused", None]), "importance": r.choice(["critical", None]), "at": (0, i)} for i in range(size)}
+        links = [(i, r.randrange(i), r.choice(["critical", "helpful", None])) for i in range(1, size)] + [(a, b, "important") for a, b in ((r.randrange(1, size), 0) for _ in range(size // 2)) if size > 2]
+        c = graph.Component(chunks, links)
+        prints = c.fingerprints()
+        for k, i in enumerate(c.ids):
+            assert prints[k].tolist() == pytest.approx(slow_fingerprint(c, i))
+        for (a, b), v in c.link_values().items():
+            x, y = chunks[a], chunks[b]
+            gain = graph.IMPORTANCE.get(c.strength_of(a, b), 1) + 3 * (x["retention"] is not None and y["retention"] is not None) + 3 * (x["importance"] is not None and y["importance"] is not None)
+            apart = sum((p - q) ** 2 for p, q in zip(slow_fingerprint(c, a), slow_fingerprint(c, b), strict=True)) ** 0.5
+            assert v == pytest.approx((1 - apart / 2) * gain)
+
+
+def test_fill():
+    from lamella.functions.text import fill
+
+    assert [b for b, _ in fill([200, 160], 320)] == [0, 1] and fill([], 5) == []
+    assert fill([2, 2, 2], 4) == [(0, 0), (0, 1), (1, 0)] and fill([4, 0, 1], 4, True) == [(0, 0), (1, 0), (1, 1)]
+
+
+def test_store_refuses_known_ids_and_fills_defaults(spark):
+    base = spark.createDataFrame([(1, 5), (3, 6)], "id long, n long")
+    assert sorted(map(tuple, store.create(base, spark.createDataFrame([(4, 1)], "id long, n long"), "id").collect())) == [(1, 5), (3, 6), (4, 1)]
+    with pytest.raises(ValueError, match="already exists: 3"):
+        store.create(base, spark.createDataFrame([(3, 1)], "id long, n long"), "id")
+    assert sorted(r.id for r in store.allocate(base, spark.createDataFrame([(9,), (8,)], "n long"), "n").collect()) == [1, 3, 4, 5]
+    assert sorted(map(tuple, store.append(base, spark.createDataFrame([(7, None)], "id long, n long"), n=0).collect()))[-1] == (7, 0)
+
+
+def test_plain_text_of_nothing_is_nothing():
+    assert export.plain_text([], str) == ""
+    assert export.plain_text([{"title": " A ", "serialId": 1, "children": []}], lambda _: " x ") == "A\n\nx\n"
+
+
+def test_templates(tmp_path):
+    t = template.Template("Hi {{ a.b }}{{ a.c|safe }}\n{% if xs %}\n{% for x in xs %}\n- {{ x }}\n{% endfor %}\n{% elif not a %}\nno\n{% else %}\nnone\n{% endif %}\n{# gone #}end")
+    assert t.render({"a": {"b": "<b>", "c": "<c>"}, "xs": ["1 & 2", 3]}) == "Hi &lt;b&gt;<c>\n- 1 &amp; 2\n- 3\nend"
+    assert t.render({}) == "Hi \nno\nend" and t.render({"a": {"b": 1}}) == "Hi 1\nnone\nend"
+    for bad in ("{% if a %}", "{% while a %}", "{{ a + b }}", "{% for a of b %}{% endfor %}", "{{ a|upper }}"):
+        with pytest.raises(ValueError):
+            template.Template(bad).render({})
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "p.txt").write_text("{{ n }}!")
+    (tmp_path / "q.txt").write_text("secret")
+    load = template.loader(str(tmp_path / "t"))
+    assert load("p.txt").render({"n": 1}) == "1!"
+    with pytest.raises(ValueError):
+        load("../q.txt")
+
+
+def test_translation_guard():
+    import json
+
+    english = {"label": "The weather", "content": "The weather is fine and the sky is blue in the morning."}
+    german = {"label": "Das Wetter", "content": "Das Wetter ist schön und der Himmel ist blau und die Sonne scheint nicht."}
+    answer = lambda i: json.dumps([{"id": i, "label": "Weather", "content": "The weather is nice."}])
+    asked = []
+
+    def ask(answers):
+        def one(messages):
+            asked.append(messages)
+            return answers.pop(0)
+
+        return one
+
+    assert translation.translated([english], "en", ask([])) == [english]
+    assert translation.translated([english, german], "en", ask([answer(1)])) == [english, {"label": "Weather", "content": "The weather is nice."}]
+    assert "sky is blue" not in str(asked[0])
+    assert translation.translated([german], "en", ask([answer(7), answer(0)]))[0]["label"] == "Weather"
+    assert translation.translated([german], "en", ask([answer(7)] * 4)) == [german] and translation.translated([german], "en", ask(["x"] * 4)) == [german]
 
 
 def test_components():
@@ -142,7 +237,7 @@ def test_editor_scores_and_loop():
     reviews = [{"weight": 2, "issues": [{"problem": "a", "severity": "critical", "suggestion": ""}, {"problem": "b", "severity": "minor", "suggestion": "s"}]}, {"weight": 3, "issues": [{"problem": "c", "severity": "major", "suggestion": ""}]}]
     assert editor.score_reviews(reviews) == 29
     assert editor.issue_lines(reviews).startswith("1. [CRITICAL]\n   Problem: a")
-    assert "... and 2 more" in editor.issue_lines(reviews, 1)
+    assert editor.issue_lines(reviews, 1).endswith("(2 lesser issues not shown)")
     assert editor.best_version([{"score": 2, "n": 1}, {"score": 1, "n": 2}, {"score": 1, "n": 3}])["n"] == 2
     answers = iter(["Der Text ist nicht in der Sprache und das ist das Problem.", "The text is in the right language and that is good."])
     out = editor.compress("x " * 50, [{"weight": 1.0}], lambda k, v: next(answers), lambda t, c: [], "en")
