@@ -15,7 +15,7 @@ document with a smaller doc_id.
 
 Shape: two shuffles of the text (to its nodes and to its spans), otherwise of
 rows of a few numbers, about one for 20 words. Counts are aggregated before the
-shuffle; the joins are sort-merge joins that the planner can split on hot keys. A
+shuffle and written; the joins are of two plain exchanges, which the planner can split on hot keys. A
 task holds the nodes of one document, never those of a repeated passage.
 
 Defined cases: null text is empty; a document of fewer than ``SPAN`` words, or
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import cut, map_arrow, packed, table, text_key, unpacked
+from .common import cut, cut_alone, map_arrow, packed, table, text_key, unpacked
 
 SPAN, K = 50, 10
 _U = np.uint64
@@ -147,9 +147,10 @@ def spans_and_windows(graph: DataFrame, docs: DataFrame) -> DataFrame:
 def repeated_graph(docs: DataFrame) -> DataFrame:
     """Per document (doc_id, tk) its nodes that occur in several documents, with counts; one row for each document that has any."""
     found = cut(nodes(docs).dropDuplicates(["doc_id", "tk", "pos"]) if _repeats(docs) else nodes(docs), "nodes")
-    often = found.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "n", "lo")
+    # counts are written before they are joined: only a join of two plain exchanges is split by the planner at a node that very many documents hold
+    often = cut(found.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "n", "lo"), "repeated")
     kept = cut(found.join(often, "h").select("doc_id", "tk", "pos", "n", "lo", "e"), "repeated-nodes")
-    edges = kept.where("e is not null").groupBy("e").agg(F.count("*").alias("en")).where("en > 1")
+    edges = cut(kept.where("e is not null").groupBy("e").agg(F.count("*").alias("en")).where("en > 1"), "edges")
     joined = kept.join(edges, "e", "left").select("doc_id", "tk", F.struct("pos", "n", "lo", F.coalesce("en", F.lit(0)).alias("en")).alias("x"))
     return joined.groupBy("doc_id", "tk").agg(F.sort_array(F.collect_list("x")).alias("g"))
 
@@ -161,9 +162,10 @@ def _repeats(docs: DataFrame) -> bool:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Per document (doc_id, tk) the word spans to remove: spans, an array of (start, stop), overlapping and unsorted."""
-    pieces = cut(spans_and_windows(repeated_graph(docs), docs).distinct() if _repeats(docs) else spans_and_windows(repeated_graph(docs), docs), "spans")
+    twice = _repeats(docs)
+    pieces = cut_alone(lambda: spans_and_windows(repeated_graph(docs), docs).distinct() if twice else spans_and_windows(repeated_graph(docs), docs), "spans")
     windows = pieces.where("h is not null")
-    least = windows.groupBy("h", "c").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "c", "lo")
+    least = cut(windows.groupBy("h", "c").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "c", "lo"), "repeated-windows")
     hit = windows.join(least, ["h", "c"]).where("doc_id > lo")
     every = pieces.where("h is null").select("doc_id", "tk", "start", "stop").unionByName(hit.select("doc_id", "tk", "start", "stop"))
     return every.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
