@@ -13,6 +13,13 @@ cumulative segment lengths (0 first), the position at which every token's own
 count starts again (one reset per segment), and per segment the doc_id and the
 token offset within the document, so that documents can be put together again.
 
+``pack`` returns these rows, ``write`` stores them as binary files, one pair for each
+partition: ``part-N.ids``, the id matrix, rows of ``length`` little-endian 32-bit numbers
+and nothing else, so that it can be mapped into memory; and ``part-N.meta``, an Arrow
+file with the rest, row for row. A pair gets its name when it is complete, so a task that
+is lost and run again leaves no half file; ``manifest.json`` comes last and lists the
+parts with their rows and SHA-256. ``restore`` reads documents back from such a folder.
+
 Defined cases: null or empty text is one separator; rows sharing a doc_id are
 packed each; a null doc_id stays null; an empty table gives no rows; other
 columns are ignored.
@@ -21,12 +28,15 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import hashlib
+import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,6 +80,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
@@ -200,9 +211,16 @@ def best_fit_decreasing(sizes: list[int], length: int) -> list[list[int]]:
     return rows
 
 
+def default_vocabulary() -> str:
+    """Where the installed public vocabulary lies. Imported here, so that nothing else needs it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
 def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, separator: int = SEPARATOR, chunk: int = CHUNK) -> DataFrame:
     """Packed rows of the documents (doc_id, text); ``vocabulary`` is the path of a rank file that every executor has."""
-    path = vocabulary or public_tokenizers.path(VOCABULARY)
+    path = vocabulary or default_vocabulary()
 
     def emit(pieces: list[tuple], first: int) -> Iterator[pa.RecordBatch]:
         rows = best_fit_decreasing([len(p[2]) for p in pieces], length)
@@ -246,5 +264,63 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, s
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, SCHEMA)
 
 
+def write(rows: DataFrame, folder: str) -> dict:
+    """Store packed rows as binary files in ``folder`` (a URI or path that every executor can write to); returns the manifest."""
+    place, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    place.create_dir(root)
+    meta = pa.schema([("row_id", pa.int64()), ("n_tokens", pa.int32()), ("cu_seqlens", pa.list_(pa.int32())), ("resets", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to, at = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        part, own, n, width, sha = TaskContext.get().partitionId(), uuid.uuid4().hex, 0, 0, hashlib.sha256()
+        half, whole = (f"{at}/.half-{own}", f"{at}/part-{part:05}")
+        ids = table_ = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if ids is None:
+                ids = to.open_output_stream(f"{half}.ids")
+                sink = to.open_output_stream(f"{half}.meta")
+                table_ = pa.ipc.new_file(sink, meta)
+            flat = batch.column("ids").flatten().to_numpy().astype("<i4").tobytes()
+            width = len(batch.column("ids")[0])
+            ids.write(flat)
+            sha.update(flat)
+            table_.write_batch(batch.select(meta.names).cast(meta))
+            n += batch.num_rows
+        if ids is not None:
+            ids.close()
+            table_.close()
+            sink.close()
+            for kind in ("ids", "meta"):
+                to.move(f"{half}.{kind}", f"{whole}.{kind}")
+            yield pa.RecordBatch.from_pydict({"part": [f"part-{part:05}"], "rows": [n], "length": [width], "sha256": [sha.hexdigest()]}, pa.schema([("part", pa.string()), ("rows", pa.int64()), ("length", pa.int64()), ("sha256", pa.string())]))
+
+    small_batches(rows.sparkSession)
+    parts = [r.asDict() for r in rows.mapInArrow(run, "part string, rows long, length long, sha256 string").collect()]  # one row for each partition
+    manifest = {"dtype": "<i4", "parts": sorted(parts, key=lambda x: x["part"])}
+    with place.open_output_stream(f"{root}/manifest.json") as f:
+        f.write(json.dumps(manifest).encode())
+    return manifest
+
+
+def restore(folder: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    """(doc_id, offset, ids) of every segment of a folder that ``write`` has made; a part that differs from its manifest is an error."""
+    place, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    with place.open_input_file(f"{root}/manifest.json") as f:
+        manifest = json.loads(f.read())
+    for part in manifest["parts"]:
+        with place.open_input_file(f"{root}/{part['part']}.ids") as f:
+            raw = f.read()
+        if hashlib.sha256(raw).hexdigest() != part["sha256"]:
+            raise ValueError(f"{part['part']} differs from its manifest")
+        ids = np.frombuffer(raw, manifest["dtype"]).reshape(part["rows"], part["length"])
+        with place.open_input_file(f"{root}/{part['part']}.meta") as f:
+            rows = pa.ipc.open_file(f).read_all().to_pylist()
+        for k, row in enumerate(rows):
+            for j, (doc_id, offset) in enumerate(zip(row["doc_ids"], row["offsets"], strict=True)):
+                yield doc_id, offset, ids[k, row["cu_seqlens"][j] : row["cu_seqlens"][j + 1]]
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))

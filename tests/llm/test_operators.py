@@ -576,3 +576,24 @@ def test_packing_is_lossless(spark, docs, none):
         ids = [x for at in sorted(parts[i]) for x in parts[i][at]]
         assert ids == bpe.encode_ordinary(t or "") + [packing.SEPARATOR]
     assert packing.pack(none).count() == 0
+
+
+def test_packed_files_give_the_documents_back(spark, docs, none, tmp_path):
+    import public_tokenizers
+
+    d = docs.select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"]).repartition(3)
+    manifest = packing.write(packing.pack(d, length=128, chunk=5000), (tmp_path / "out").as_uri())
+    for part in manifest["parts"]:
+        assert os.path.getsize(tmp_path / "out" / f"{part['part']}.ids") == 4 * 128 * part["rows"]
+    assert not [x for x in os.listdir(tmp_path / "out") if x.startswith(".half")]
+    parts = defaultdict(dict)
+    for doc_id, offset, ids in packing.restore(str(tmp_path / "out")):
+        parts[doc_id][offset] = ids.tolist()
+    bpe = packing.encoder(public_tokenizers.path(packing.VOCABULARY)).bpe
+    want = {r.doc_id: bpe.encode_ordinary(r.text or "") + [packing.SEPARATOR] for r in d.collect()}
+    assert {i: [x for at in sorted(p) for x in p[at]] for i, p in parts.items()} == want
+    first = tmp_path / "out" / f"{manifest['parts'][0]['part']}.ids"
+    first.write_bytes(b"\1" + first.read_bytes()[1:])
+    with pytest.raises(ValueError):
+        list(packing.restore(str(tmp_path / "out")))
+    assert packing.write(packing.pack(none), str(tmp_path / "none"))["parts"] == [] and list(packing.restore(str(tmp_path / "none"))) == []
