@@ -20,12 +20,9 @@ copies of any size with as many pairs as members. Then only buckets that still
 hold several classes are taken, and only members of different classes are held
 against each other. Buckets of up to ``SMALL`` members give their pairs as rows,
 at most SMALL / 2 for each member. Larger ones, where many texts are almost
-similar enough, are thinned first: a shingle that no other document of such a bucket
-holds can't be aligned, so a document with too many of them has no partner there and
-goes, which takes one count of shingles and no pairs. What is left goes as blocks
-of at most ``BLOCK`` members, two at a time, to workers that return only links; the same
-bound on the alignment drops most pairs of a block before they are aligned. No pair that could
-be a link is left out.
+similar enough, go as blocks of at most ``BLOCK`` members, two at a time, to workers
+that return only links; there a bound on what can be aligned leaves out most pairs before
+any is aligned. No pair that could be a link is left out.
 
 Defined cases: null text is empty; a document without words is alone in its
 class; one of fewer than ``K`` words has one shingle, all its words; rows with a
@@ -169,8 +166,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
-def thinned(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The members of large buckets (key, rep, class) that can have a partner there, of buckets that still hold several classes, with n; and rep, x (labelled shingles), common (how many of them another member holds)."""
+def shingles_of(reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """rep, x: the labelled shingles of the asked documents, made once however many blocks they go to."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         x = _labelled_of(batch, "text")
@@ -178,23 +175,13 @@ def thinned(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]
         flat = pa.array((np.concatenate(x) if x else np.zeros(0, _U)).view(np.int64))
         yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.ListArray.from_arrays(at, flat)], ["rep", "x"])
 
-    asked = members.select("rep").distinct()
-    whole = cut(map_arrow(asked.join(texts.withColumnRenamed("doc_id", "rep"), "rep"), run, "rep long, x array<long>"), "large-shingles")
-    # a shingle that stands once names the document that holds it alone
-    alone = whole.select("rep", F.explode("x").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("rep").alias("o_rep")).where("c = 1").groupBy("o_rep").agg(F.count("*").alias("own"))
-    held = whole.join(alone, F.col("rep") == F.col("o_rep"), "left").select("rep", "x", (F.size("x") - F.coalesce("own", F.lit(0))).cast("int").alias("common"))
-    # the best partner consists of the common shingles alone
-    held = cut(held.where(F.col("common") >= SIMILARITY * F.size("x")), "thinned")
-    left = cut(members.select("key", "rep", "class").join(held.select("rep").distinct(), "rep"), "thinned-members")
-    mixed = left.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
-    return cut(left.join(mixed, "key"), "thinned-buckets"), held
+    return map_arrow(reps.join(texts.withColumnRenamed("doc_id", "rep"), "rep"), run, "rep long, x array<long>")
 
 
 def links_within(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between members of different classes of large buckets: rows key, rep, class. A pair is tried in the large bucket of the smallest key that both share."""
-    members, shingles_of = thinned(members, texts)
+    """Links (a, b) between members of different classes of large buckets: rows key, rep, n, class. A pair is tried in the large bucket of the smallest key that both share."""
     keys = members.groupBy("rep").agg(F.sort_array(F.collect_set("key")).alias("large"))
-    whole = shingles_of.join(keys, "rep")
+    whole = cut(shingles_of(members.select("rep").distinct(), texts).join(keys, "rep"), "large-shingles")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     dealt = members.select("key", "rep", "class", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
@@ -203,7 +190,7 @@ def links_within(members: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, []
         for batch in batches:
-            heads = [batch.column(c).to_pylist() for c in ("key", "i", "j", "mine", "rep", "class", "common")]
+            heads = [batch.column(c).to_pylist() for c in ("key", "i", "j", "mine", "rep", "class")]
             large, x = batch.column("large"), batch.column("x")
             for k, (key, i, j, *rest) in enumerate(zip(*heads, strict=True)):
                 if (key, i, j) != now:
@@ -215,20 +202,26 @@ def links_within(members: DataFrame, texts: DataFrame) -> DataFrame:
 
     small_batches(members.sparkSession)
     rows = dealt.join(whole, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-    return rows.select("key", "i", "j", "mine", "rep", "class", "common", "x", "large").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("key", "i", "j", "mine", "rep", "class", "x", "large").mapInArrow(run, "a long, b long").distinct()
 
 
 def tried(group_of: tuple | None, group: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """One batch of links between the members (block, rep, class, common, shingles, large keys) of one or two blocks of a bucket."""
+    """One batch of links between the members (block, rep, class, shingles, large keys) of one or two blocks of a bucket.
+
+    A shingle that no other member holds can't be aligned, which leaves most pairs of texts that are almost similar enough out before any is aligned.
+    """
     if len(group) < 2:
         return
     key, i, j = group_of
-    block, reps, own, common = (np.array([m[k] for m in group]) for k in range(4))
+    block, reps, own = (np.array([m[k] for m in group]) for k in range(3))
     sharing = defaultdict(list)
     for k, m in enumerate(group):
-        for x in m[5][m[5] < key].tolist():
+        for x in m[4][m[4] < key].tolist():
             sharing[x].append(k)
-    size = np.array([len(m[4]) for m in group])
+    size = np.array([len(m[3]) for m in group])
+    holder = np.repeat(np.arange(len(group)), size)
+    _, back, often = np.unique(np.concatenate([m[3] for m in group]), return_inverse=True, return_counts=True)
+    common = np.bincount(holder[often[back] > 1], minlength=len(group))
     asked = (own[:, None] != own[None, :]) & reachable(size[:, None], size[None, :], np.minimum(common[:, None], common[None, :]))
     for held in sharing.values():  # these pairs are tried there
         if len(held) > 1:
@@ -251,8 +244,8 @@ def tried(group_of: tuple | None, group: list[tuple]) -> Iterator[pa.RecordBatch
             continue  # their classes are linked already
         for m in (k, o):
             if m not in sets:
-                sets[m] = frozenset(group[m][4].tolist())
-        if reachable(size[k], size[o], len(sets[k] & sets[o])) and aligned(group[k][4], group[o][4]) >= SIMILARITY:
+                sets[m] = frozenset(group[m][3].tolist())
+        if reachable(size[k], size[o], len(sets[k] & sets[o])) and aligned(group[k][3], group[o][3]) >= SIMILARITY:
             top[x] = y
             out.append((int(reps[k]), int(reps[o])))
     if out:
@@ -289,7 +282,7 @@ def classes(docs: DataFrame) -> DataFrame:
     x, y = few.select("key", F.col("rep").alias("a"), F.col("class").alias("ca")), few.select("key", F.col("rep").alias("b"), F.col("class").alias("cb"))
     cross = x.join(y, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     two = cut(cross.join(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross-pairs")
-    many = cut(rest.where(F.col("n") > SMALL).select("key", "rep", "class"), "large-buckets")
+    many = cut(rest.where(F.col("n") > SMALL), "large-buckets")
     links = star.unionByName(verified(two, texts)).unionByName(links_within(many, texts))
     label = cut(components(links), "classes").withColumnRenamed("node", "rep")
     member = made.select("doc_id", "digest").distinct().join(copies, "digest")
