@@ -457,10 +457,10 @@ on("txt_language")(lambda t: t("documents").select("doc_id", "lang", language.la
 
 
 def _quotes(d: Digest) -> DataFrame:
-    """Of every third sentence the whole or its first words as start, and the sentence two further on as end."""
-    f = d.fsent.where("words >= 8").select("serial_id", "sidx", "text")
+    """Every sentence as start, and the sentence two further on, if there is one, as end."""
+    f = d.fsent.select("serial_id", "sidx", "text")
     end = f.select("serial_id", (col("sidx") - 2).alias("sidx"), col("text").alias("end"))
-    return f.where("sidx % 3 = 0").join(end, ["serial_id", "sidx"], "left").select("serial_id", col("sidx").alias("quote_id"), F.when(col("sidx") % 2 == 0, col("text")).otherwise(F.substring_index("text", " ", 6)).alias("start"), "end")
+    return f.join(end, ["serial_id", "sidx"], "left").select("serial_id", col("sidx").alias("quote_id"), col("text").alias("start"), "end")
 
 
-entry("sim_resolve")(lambda d: evidence.resolve_all(d.fsent.where("words >= 4").select("serial_id", "sidx", "text"), _quotes(d)))
+entry("sim_resolve")(lambda d: evidence.resolve_all(d.fsent.select("serial_id", "sidx", "text"), _quotes(d)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,6 +17,10 @@ _SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]*")
 START, END = "start_anchor", "end_anchor"
 
 
+#: Every quotation of a serial is held against the same sentences.
+_normal = lru_cache(1 << 16)(normalize)
+
+
 class Open(Exception):
     """No sentence could be chosen: code, field and the candidates to choose from."""
 
@@ -70,8 +75,8 @@ def head_tail_score(head: str, tail: str, candidate: str) -> float:
 
 def resolve_anchor(anchor: str, texts: list[str], field: str, first: int = 0) -> tuple[dict, str]:
     """The sentence and how it was found; Open otherwise. The window search runs only if no sentence holds the anchor."""
-    plain, want = normalize(anchor), anchor.strip()
-    held = [i for i, t in enumerate(texts) if plain and plain in normalize(t)]
+    plain, want = _normal(anchor), anchor.strip()
+    held = [i for i, t in enumerate(texts) if plain and plain in _normal(t)]
     clear = lambda cs: cs[0]["score"] >= GOOD_SCORE and cs[0]["score"] - cs[1]["score"] >= LEAST_GAP
     if held:
         known = [c for c in rank(anchor, texts, field, set(held)) if c["index"] >= first]
@@ -155,20 +160,22 @@ RESOLVED = "serial_id long, quote_id long, indexes array<int>, confidence double
 
 
 def resolve_all(sentences: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Every quotation (serial_id, quote_id, start, end) against the sentences (serial_id, sidx, text) of its serial. One serial is one task's work."""
+    """Every quotation (serial_id, quote_id, start, end) against the sentences (serial_id, sidx, text) of its serial: one row per serial goes to a worker, with its sentences once."""
     texts = sentences.groupBy("serial_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("sidx", "text"))), lambda x: x["text"]).alias("texts"))
-    both = quotes.join(texts, "serial_id")
+    asked = quotes.groupBy("serial_id").agg(F.sort_array(F.collect_list(F.struct("quote_id", "start", "end"))).alias("asked"))
 
     def run(parts):
         for part in parts:
             rows = []
-            for r in part.itertuples():
-                evidence = {START: r.start} | ({END: r.end} if r.end is not None else {})
-                try:
-                    x = resolve(evidence, list(r.texts))
-                    rows.append((r.serial_id, r.quote_id, x["indexes"], x["confidence"], x["strategy"], None))
-                except Open as e:
-                    rows.append((r.serial_id, r.quote_id, [], 0.0, None, f"{e.field}:{e.code}"))
+            for serial, among, every in zip(part.serial_id, part.texts, part.asked, strict=True):
+                among = list(among)
+                for q in every:
+                    evidence = {START: q["start"]} | ({END: q["end"]} if q["end"] is not None else {})
+                    try:
+                        x = resolve(evidence, among)
+                        rows.append((serial, q["quote_id"], x["indexes"], x["confidence"], x["strategy"], None))
+                    except Open as e:
+                        rows.append((serial, q["quote_id"], [], 0.0, None, f"{e.field}:{e.code}"))
             yield pd.DataFrame(rows, columns=["serial_id", "quote_id", "indexes", "confidence", "strategy", "problem"])
 
-    return both.mapInPandas(run, RESOLVED)
+    return asked.join(texts, "serial_id").mapInPandas(run, RESOLVED)

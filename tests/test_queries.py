@@ -107,3 +107,35 @@ def test_fragment_groups_and_snakes_by_plain_loops(spark):
         own = sorted(links.get(k, []))
         want = sorted(s for ids in graph.split_components(sorted(chunks[k]), [(a, b) for a, b, _ in own]) for s in graph.Component({i: chunks[k][i] for i in ids}, [x for x in own if x[0] in set(ids)]).snakes())
         assert sorted([i for _, i in sorted(s)] for s in members[k].values()) == want
+
+
+def test_every_sentence_is_resolved_as_by_the_function(spark):
+    from lamella.operators import evidence
+    from lamella.plans.digest import Digest
+
+    texts = {}
+    for r in Digest(spark, SF).fsent.orderBy("serial_id", "sidx").collect():
+        texts.setdefault(r.serial_id, []).append(r.text)
+    got = {(r.serial_id, r.quote_id): r for r in catalog.QUERIES["sim_resolve"](spark, SF).collect()}
+    assert len(got) == sum(map(len, texts.values()))
+    for s, among in texts.items():
+        for k in range(0, len(among)):
+            r = got[s, k]
+            try:
+                want = evidence.resolve({"start_anchor": among[k]} | ({"end_anchor": among[k + 2]} if k + 2 < len(among) else {}), among)
+                assert r.indexes == want["indexes"] and r.strategy == want["strategy"]
+            except evidence.Open as e:
+                assert r.problem == f"{e.field}:{e.code}"
+    sure = [r for r in got.values() if r.strategy and r.strategy.startswith("exact_raw")]
+    assert len(sure) > 0.8 * len(got) and all(r.indexes[0] == r.quote_id for r in sure)
+
+
+def test_language_is_detected(spark):
+    """Measured against the language that the table names, over texts of at least ten words."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    from lamella.functions.language import language
+
+    said = rows.where("size(split(text, ' ')) >= 10")
+    got = said.select("lang", language(said["text"]).alias("d")).collect()
+    print(sum(r.lang == r.d for r in got) / len(got))
+    assert sum(r.lang == r.d for r in got) >= 0.95 * len(got)
