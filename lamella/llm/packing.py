@@ -52,6 +52,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 SCHEMA = "row_id long, n_tokens int, ids array<int>, cu_seqlens array<int>, resets array<int>, doc_ids array<long>, offsets array<long>"
 #: The UTF-8 bytes of white space beyond ASCII. Texts that hold any are encoded as a whole.
 RARE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_SPACE = frozenset(b" \t\n\x0b\x0c\r")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -87,7 +88,7 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("lamella", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         by_id = sorted((b, a) for a, b in ranks.items())
-        self.width, self.start = np.zeros(by_id[-1][0] + 1, np.int64), np.zeros(by_id[-1][0] + 1, np.int64)
+        self.width, self.start = np.zeros(by_id[-1][0] + 1, np.int32), np.zeros(by_id[-1][0] + 1, np.int32)
         self.width[[b for b, _ in by_id]] = [len(a) for _, a in by_id]
         self.start[[b for b, _ in by_id]] = np.cumsum([0, *(len(a) for _, a in by_id)])[:-1]
         self.spelled = np.frombuffer(b"".join(a for _, a in by_id), np.uint8)
@@ -98,15 +99,22 @@ class Encoder:
         self.at, self.size, self.store, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0
 
     def learn(self, hashes: list[int], pieces: list[bytes]) -> None:
-        """Pieces that begin with a space and go on stay apart in one long text; where each one's ids end follows from the widths of the ids."""
-        spaced = [x[0] == 32 and len(x) > 1 and x[1] > 32 for x in pieces]
-        joined = [x for x, y in zip(pieces, spaced, strict=True) if y]
-        flat = np.array(self.bpe.encode_ordinary(b"".join(joined).decode()), np.int32)
-        sizes = np.diff(np.searchsorted(np.cumsum(self.width[flat]), np.cumsum(list(map(len, joined)), dtype=np.int64)) + 1, prepend=0)
-        alone = [np.array(self.bpe.encode_ordinary(x.decode()), np.int32) for x, y in zip(pieces, spaced, strict=True) if not y]
-        self._add([h for h, y in zip(hashes, spaced, strict=True) if y], sizes, flat)
+        """Pieces that begin with a space and go on stay apart in one long text, and words without a space do with a line end between them, which is a token of its own; where each one's ids end follows from the widths of the ids."""
+        kind = [1 if x[0] == 32 and len(x) > 1 and x[1] > 32 else 2 if x[0] not in _SPACE and not RARE.search(x) else 0 for x in pieces]
+        for mine, between in ((1, b""), (2, b"\n")):
+            some = [x for x, y in zip(pieces, kind, strict=True) if y == mine]
+            if some:
+                flat = np.array(self.bpe.encode_ordinary(between.join(some).decode()), np.int32)
+                stop = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + len(between)) - len(between)
+                last = np.searchsorted(np.cumsum(self.width[flat]), stop) + 1
+                if between:  # the id after each piece but the last is that of the line end
+                    keep = np.ones(len(flat), bool)
+                    keep[last[:-1]] = False
+                    flat, last = flat[keep], last - np.arange(len(last))
+                self._add([h for h, y in zip(hashes, kind, strict=True) if y == mine], np.diff(last, prepend=0), flat)
+        alone = [np.array(self.bpe.encode_ordinary(x.decode()), np.int32) for x, y in zip(pieces, kind, strict=True) if not y]
         if alone:
-            self._add([h for h, y in zip(hashes, spaced, strict=True) if not y], np.array(list(map(len, alone))), np.concatenate(alone))
+            self._add([h for h, y in zip(hashes, kind, strict=True) if not y], np.array(list(map(len, alone))), np.concatenate(alone))
 
     def _add(self, hashes: list[int], sizes: np.ndarray, ids: np.ndarray) -> None:
         n = len(self.known)
@@ -142,8 +150,8 @@ class Encoder:
             ends = np.cumsum(size)
             ids = self.store[np.repeat(self.at[index] - ends + size, size) + np.arange(ends[-1])]
             width = self.width[ids]
-            upto = np.cumsum(width)
-            same = upto[-1] == len(raw) and bool((self.spelled[np.repeat(self.start[ids] - upto + width, width) + np.arange(len(raw))] == raw).all())
+            upto = np.cumsum(width, dtype=np.int32 if len(raw) < 2**30 else np.int64)
+            same = upto[-1] == len(raw) and bool((self.spelled[np.repeat(self.start[ids] - upto + width, width) + np.arange(len(raw), dtype=upto.dtype)] == raw).all())
         except (UnicodeDecodeError, ValueError):
             same = False
         if not same:
