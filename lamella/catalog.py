@@ -166,7 +166,7 @@ simple("st_edges_save", "edges", "select from_id, to_id, case when from_id % 4 =
 simple("st_edges_all", "edges", f"select {_E} from edges", lambda d: _edge(d.edges).orderBy("from_id", "to_id"))
 simple("st_edges_by_serial", "edges chunks", f"select {_E.replace('weight, 6', 'e.weight, 6')} from edges e join chunks a on a.id = e.from_id join chunks b on b.id = e.to_id where a.serial_id = 5 and b.serial_id = 5",
        lambda d: _edge(store.within(d.edges, d.chunks.where("serial_id = 5"), "from_id", "to_id")))
-simple("st_edges_incoming", "edges", f"select {_E} from edges where to_id = 100003", lambda d: _edge(d.edges.where("to_id = 100003")))
+simple("st_edges_incoming", "edges", f"select {_E} from edges where to_id = {8 * WIDE + 3}", lambda d: _edge(d.edges.where(col("to_id") == 8 * WIDE + 3)))
 simple("st_edges_outgoing", "edges", f"select {_E} from edges where from_id = {8 * WIDE + 9}", lambda d: _edge(d.edges.where(col("from_id") == 8 * WIDE + 9)))
 simple("st_edges_within", "edges", f"select {_E} from edges where from_id % 2 = 0 and to_id % 2 = 0", lambda d: _edge(store.within(d.edges, d.chunks.where("id % 2 = 0"), "from_id", "to_id")))
 simple("st_groups_list", "groups", "select group_id, fragment_id from groups where serial_id = 3", lambda d: d.groups.where("serial_id = 3").select("group_id", "fragment_id").orderBy("group_id", "fragment_id"))
