@@ -46,6 +46,20 @@ def test_message_key_takes_every_turn(spark, tmp_path):
     assert got == {k: hashlib.sha512(json.dumps(x, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest() for k, x in enumerate(whole)}
 
 
+def test_html_text_of_odd_pages_equals_its_sql(spark, tmp_path):
+    """References that nothing ends, such as a title cut within one; the operator itself reads them as HTML does."""
+    from lamella.sources import epub
+
+    said = ["<h1>cut &amp;&amp</h1><p>b</p>", '<h1>a = &quot</h1><p><b>a = &quot;</b> &copyx &amp x &ampx; a & b &; &am</p>', "<p>a &amp", "<p>a &amp</p>\n", "<p title='&amp'>x</p>&amp", "<p>\ue000 &middot</p>", "<iframe>?a=1&copy=2</iframe>", "", None]
+    spark.createDataFrame(list(enumerate(said)), "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = dict(con.execute(catalog.SQL["src_html_text"]).fetchall())
+    assert {r.page_id: r.text for r in catalog.QUERIES["src_html_text"](spark, str(tmp_path)).collect()} == want
+    assert want[0] == "cut &&amp b" and want[2] == "a &" and want[8] is None
+    assert epub.page_sections(said[0], [("p", None)])["p"] == "cut &&\n\nb"
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
